@@ -5,19 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import quality_rules
+from tessella.llm import bpe, packing, quality_classifier, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_bpe() -> str:
+    """Path of the public tokenizer file, which the contracts of op5 and op7 name."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality_classifier.quality_classifier(docs, labels).drop("text")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(_table(spark, sf_dir, "documents"), word_bpe())
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), word_bpe(), capacity=4096, end_id=1)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return quality_rules.quality_rules(docs).select("doc_id", *quality_rules.STATS, "base_failed", "kept", "distance")
 
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
+    "op5_bpe": op5_bpe,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 

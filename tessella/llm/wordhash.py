@@ -29,7 +29,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n and more of the hash base and of its inverse, modulo 2^64."""
     if _powers["n"] < n:
         size = max(n, 1 << 16)
         for k, base in (("up", _BASE), ("down", _INVERSE)):
@@ -71,7 +72,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[-1] = False
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
-    up, down = _power(n)
+    up, down = powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[_LOWER[data]] * up[:n], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
