@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, packing, quality_classifier, quality_rules
+from tessella.llm import bpe, near_dedup, packing, quality_classifier, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,3 +46,10 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {}
+
+
+def op10_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+QUERIES["op10_minhash_lsh_forest"] = op10_minhash_lsh_forest
