@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, near_dedup, packing, quality_classifier, quality_rules
+from tessella.llm import bpe, near_dedup, packing, quality_classifier, quality_rules, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,3 +53,26 @@ def op10_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_minhash_lsh_forest"] = op10_minhash_lsh_forest
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_roundtrip(_table(spark, sf_dir, "pages"))
+
+
+QUERIES["op3_warc"] = op3_warc
+ORACLES["op3_warc"] = """
+WITH p AS (SELECT page_id, COALESCE(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h) AS n, sha1(h) AS d FROM p),
+r AS (SELECT *, MAX(page_id) OVER (PARTITION BY d) AS f FROM q)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND f <> page_id THEN f END AS refers_to
+FROM r
+"""
+
+
+def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), shards=40)
+
+
+QUERIES["op6_histogram_sort"] = op6_histogram_sort
