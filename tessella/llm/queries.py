@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, near_dedup, packing, quality_classifier, quality_rules, sharding, warc
+from tessella.llm import bpe, embedding_dedup, near_dedup, packing, quality_classifier, quality_rules, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,3 +76,10 @@ def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_histogram_sort"] = op6_histogram_sort
+
+
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+QUERIES["op8_nn_descent"] = op8_nn_descent
