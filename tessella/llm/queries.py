@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, embedding_dedup, near_dedup, packing, quality_classifier, quality_rules, sharding, warc
+from tessella.llm import bpe, chat_format, embedding_dedup, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,3 +83,18 @@ def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_nn_descent"] = op8_nn_descent
+
+
+def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digest(chat_format.perspectives(_table(spark, sf_dir, "conversations")))
+
+
+QUERIES["op1_chat_perspectives"] = op1_chat_perspectives
+ORACLES["op1_chat_perspectives"] = chat_format.ORACLE
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_license_scan"] = op4_license_scan
