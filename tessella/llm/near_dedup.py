@@ -1,12 +1,12 @@
 """Near-duplicate texts by an LSH forest over MinHash signatures, each link confirmed on the full shingle sets.
 
 A forest has ``TREES`` orders of each signature. A region of a tree is the rows that share the first d values of that
-order; it starts at d = 1 and gets deeper only where it is crowded:
+order; it starts at d = 1 and gets deeper (2, 4, 8) only where it is crowded:
 
 - in a region of at most ``crowd`` rows all its rows are candidates of each other;
-- a larger one gives candidates with its smallest id, and is split by the next value;
-- a region that is still larger at full depth is finished by probes: rows outside its largest component, a growing
-  number a round, are compared with all its rows of other components until none is left unprobed. No row is cut off.
+- a larger one gives candidates with its smallest id, and is split by the next values;
+- a region that is still larger at full depth is finished in blocks: its rows outside its largest component are
+  compared with all its rows of other components, and only links come out. No row is cut off.
 
 Candidates pass a test on packed signature bits that a true link fails with a chance below 1e-8, then the sets are
 compared. Texts of equal sets are one row throughout, so copies aren't expanded into pairs.
@@ -24,13 +24,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.shared import components, drop_stash, stash
 from tessella.llm.wordhash import mix, shingle_hashes, texts, word_hashes
 
 TREES, DEPTH = 16, 8
+DEPTHS = (1, 2, 4, DEPTH)
 HASHES = TREES * DEPTH
 #: Of the 128 four-bit values, those that two sets of similarity 0.8 share less often with a chance below 1e-8.
 MATCHES = 76
@@ -90,7 +91,7 @@ def forest(sets: DataFrame, crowd: int, percent: int) -> tuple[DataFrame, DataFr
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("t"), F.slice("sig", t * DEPTH + 1, DEPTH).alias("tail")))
     active = sets.select("id", "n", F.explode(trees).alias("x")).select("id", "n", "x.t", "x.tail").withColumn("key", _key(1))
     found: list[DataFrame] = []
-    for depth in range(1, DEPTH + 1):
+    for depth, deeper in zip(DEPTHS, [*DEPTHS[1:], 0]):
         sizes = active.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1")
         level = stash(active.join(sizes, "key"), "forest")
         small = level.where(F.col("m") <= crowd).select("key", "id", "n")
@@ -101,9 +102,9 @@ def forest(sets: DataFrame, crowd: int, percent: int) -> tuple[DataFrame, DataFr
         if big.isEmpty():
             return reduce(DataFrame.unionByName, found), None
         found.append(big.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
-        if depth == DEPTH:
+        if not deeper:
             return reduce(DataFrame.unionByName, found), big.select("key", "id")
-        active = big.select("id", "n", "t", "tail").withColumn("key", _key(depth + 1))
+        active = big.select("id", "n", "t", "tail").withColumn("key", _key(deeper))
     raise AssertionError
 
 
@@ -122,11 +123,14 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(near & _sized("a_n", "b_n", percent)).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, text: str, key: str, k: int, percent: int) -> DataFrame:
-    """Pairs whose shingle sets have 100 * intersection >= percent * union."""
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def wanted_texts(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
+    """(id, x) of the documents with these ids: the one shuffle of texts, the same at every size."""
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("x"))
-    rows = stash(rows.join(needed, "id", "left_semi").groupBy("id").agg(F.max("x").alias("x")), "texts")
+    return stash(rows.join(ids.distinct().hint("merge"), "id", "left_semi").groupBy("id").agg(F.max("x").alias("x")), "texts")
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs whose shingle sets have 100 * intersection >= percent * union; rows are (id, x)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,9 +145,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, text: str, key: str, k: int, pe
     one = rows.select(F.col("id").alias("a"), F.col("x").alias("xa"))
     two = rows.select(F.col("id").alias("b"), F.col("x").alias("xb"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb")
-    links = stash(joined.mapInArrow(run, "a bigint, b bigint"), "links")
-    drop_stash(rows)
-    return links
+    return stash(joined.mapInArrow(run, "a bigint, b bigint"), "links")
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -153,27 +155,53 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.unique(shingle_hashes(words[first[i] : first[i + 1]], k))
 
 
-def _probe(rest: DataFrame, links: DataFrame, tried: DataFrame, confirm, crowd: int) -> DataFrame:
-    """All links, with those that regions crowded at full depth still lack."""
-    rest = stash(rest.distinct(), "crowded")
-    probed = None
-    while True:
-        labels = components(links).withColumnRenamed("component_id", "c")
-        own = stash(rest.join(labels, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c")), "crowded")
-        largest = own.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("top"))
-        outside = own.join(largest, "key").where("c <> top").select("key", "id", "c")
-        if probed is not None:
-            outside = outside.join(probed, ["key", "id"], "left_anti")
-        first = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
-        probes = stash(outside.withColumn("r", F.row_number().over(first)).where(F.col("r") <= crowd).drop("r"), "crowded")
-        if probes.isEmpty():
-            return links
-        mine = probes.select("key", F.col("id").alias("p"), F.col("c").alias("pc"))
-        pairs = own.join(mine, "key").where("c <> pc").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-        pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
-        links = stash(links.unionByName(confirm(pairs)), "links")
-        probed = probes.select("key", "id") if probed is None else stash(probed.unionByName(probes.select("key", "id")), "crowded")
-        crowd *= 4
+def _shared(one: list[np.ndarray], two: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of each set of one with each of two, by products of incidence matrices, a slice of
+    the shingles at a time."""
+    values, at = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    sizes = [len(s) for s in [*one, *two]]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    out = np.zeros((len(one), len(two)), np.float32)
+    for i in range(0, len(values), width):
+        part = slice(*np.searchsorted(at, [i, i + width]))
+        m = np.zeros((len(sizes), width), np.float32)
+        m[row[part], at[part] - i] = 1
+        out += m[: len(one)] @ m[len(one) :].T
+    return out
+
+
+def crowded_links(rest: DataFrame, labels: DataFrame, rows: DataFrame, k: int, percent: int, asks: int = 64, block: int = 256) -> DataFrame:
+    """Links that regions crowded at full depth still lack: in each, the rows outside its largest component are
+    compared with all rows of other components, in blocks, and only links come out."""
+    own = rest.distinct().join(labels.withColumnsRenamed({"component_id": "c"}), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
+    own = stash(own, "crowded")
+    sizes = own.groupBy("key", "c").agg(F.count("*").alias("m"))
+    sizes = sizes.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.sum("m").alias("m"), F.max("m").alias("most"))
+    sizes = sizes.where("m > most").withColumns({"asking": F.ceil((F.col("m") - F.col("most")) / asks), "blocks": F.ceil(F.col("m") / block)})
+    own = own.join(sizes.select("key", "top", "asking", "blocks"), "key").join(rows, "id")
+    spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    members = own.withColumn("j", spread("blocks", 1)).withColumn("i", every("asking")).withColumn("ask", F.lit(False))
+    asking = own.where("c <> top").withColumn("i", spread("asking", 2)).withColumn("j", every("blocks")).withColumn("ask", F.lit(True))
+    columns = ["key", "i", "j", "ask", "id", "c", "x"]
+
+    def run(table: pa.Table) -> pa.Table:
+        ask, ids, c = (table[n].to_numpy() for n in ("ask", "id", "c"))
+        sets = list(_sets(table["x"].combine_chunks(), k))
+        p, q = np.flatnonzero(ask), np.flatnonzero(~ask)
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(p) and len(q):
+            both = _shared([sets[i] for i in p], [sets[i] for i in q])
+            n = np.array([len(s) for s in sets])
+            linked = (100 * both >= percent * (n[p][:, None] + n[q][None] - both)) & (c[p][:, None] != c[q][None])
+            x, y = np.nonzero(linked)
+            a, b = np.minimum(ids[p[x]], ids[q[y]]), np.maximum(ids[p[x]], ids[q[y]])
+        return pa.table({"a": a, "b": b})
+
+    units = members.select(columns).unionByName(asking.select(columns)).groupBy("key", "i", "j")
+    return stash(units.applyInArrow(run, "a bigint, b bigint"), "links")
 
 
 def near_duplicates(
@@ -185,15 +213,15 @@ def near_duplicates(
     sets = all_rows.where("k1 is not null and id is not null").groupBy("k1", "k2")
     sets = stash(sets.agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in columns]), "sets")
     pairs, rest = forest(sets, crowd, percent)
-    pairs = stash(pairs.distinct(), "candidates")
-
-    def confirm(some: DataFrame) -> DataFrame:
-        return confirmed(stash(_likely(some, sets, percent), "likely"), docs, text, key, k, percent)
-
-    links = confirm(pairs)
+    likely = stash(_likely(pairs.distinct(), sets, percent), "likely")
+    ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
+    rows = wanted_texts(docs, ids if rest is None else ids.unionByName(rest.select("id")), text, key)
+    labels = components(confirmed(likely, rows, k, percent))
     if rest is not None:
-        links = _probe(rest, links, pairs, confirm, crowd)
-    labels = components(links).withColumnRenamed("id", "_v")
+        more = crowded_links(rest, labels, rows, k, percent)
+        labels = components(more.unionByName(labels.toDF("a", "b")))
+    drop_stash(rows)
+    labels = labels.withColumnRenamed("id", "_v")
     found = sets.select("k1", "k2", F.col("id").alias("_v")).join(labels, "_v", "left").select("k1", "k2", F.coalesce("component_id", "_v").alias("component_id"))
     out = all_rows.select("id", "n_shingles", "k1", "k2").join(stash(found, "components"), ["k1", "k2"], "left")
     component = F.coalesce("component_id", "id")

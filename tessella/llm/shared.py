@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,27 +49,32 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Alternates large-star and small-star steps (both are a grouped minimum and a join), so the number of rounds
     grows with the logarithm of the longest path. Links stay in Spark; each round's table is written to the shared
-    folder, and only a checksum of it comes to the driver. Hot ids are pre-aggregated in the minimum; the join is an
-    ordinary one that adaptive execution may split.
+    folder, and only its counts come to the driver. Hot ids are pre-aggregated in the minimum; the join is an
+    ordinary one that adaptive execution may split. Links that already are stars (id, component_id) need no round.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges = stash(edges, "links")
-    before = None
+    found = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    edges, last = _observed(found)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # v > u >= m holds for each row, so the links are oriented from the larger to the smaller id
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # v > u > = m holds for each row, so large is already oriented from the larger to the smaller id
-        large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = stash(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
+        new, now = _observed(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         drop_stash(edges)
         edges = new
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        if now == last:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(
                 edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
             )
-        before = now
+        last = now
     raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
+
+
+def _observed(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The stashed table and its row count and checksum, counted while it is written."""
+    seen = Observation()
+    digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    out = stash(edges.observe(seen, F.count(F.lit(1)).alias("n"), digest.alias("digest")), "links")
+    return out, seen.get

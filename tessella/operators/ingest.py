@@ -16,8 +16,7 @@ PAGE_CHARS = 3000
 def paginate(docs: DataFrame, size: int = PAGE_CHARS) -> DataFrame:
     """(doc_id, page, text): form feeds part pages; else paragraphs fill pages of about size characters, and a heading
     starts a new one once the page is over half full."""
-    fed = F.filter(F.split("text", "\f"), lambda p: trimmed(p) != "")
-    paragraphs = F.split("text", r"\n{2,}")
+    fed = F.split("text", "\f")
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("page"))
 
     def add(a: Column, p: Column) -> Column:
@@ -25,11 +24,11 @@ def paginate(docs: DataFrame, size: int = PAGE_CHARS) -> DataFrame:
         close = full & (a["page"] != "")
         return F.struct(
             F.when(close, F.concat(a["done"], F.array(a["page"]))).otherwise(a["done"]).alias("done"),
-            F.when(close | (a["page"] == ""), p).otherwise(F.concat(a["page"], F.lit("\n\n"), p)).alias("page"),
+            F.concat(F.when(close, "").otherwise(a["page"]), p, F.lit("\n\n")).alias("page"),
         )
 
-    filled = F.aggregate(paragraphs, zero, add, lambda a: F.concat(a["done"], F.array(a["page"])))
-    filled = F.filter(F.transform(filled, trimmed), lambda p: p != "")
+    last = lambda a: F.concat(a["done"], F.when(trimmed(a["page"]) != "", F.array(a["page"])).otherwise(F.array().cast("array<string>")))
+    filled = F.transform(F.aggregate(F.split("text", r"\n{2,}"), zero, add, last), trimmed)
     pages = F.when(F.col("text").contains("\f"), fed).otherwise(filled)
     return docs.select("doc_id", F.posexplode(pages).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
