@@ -336,12 +336,12 @@ def best_config(spark, sf_dir):
 
 @query("""
 WITH r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY value) AS r, COUNT(*) OVER (PARTITION BY user_id) AS n FROM events)
-SELECT user_id, COUNT(*) AS calls, ROUND(AVG(value), 6) AS mean_ms, MAX(CASE WHEN r = LEAST(n, n * 50 // 100 + 1) THEN value END) AS p50, MAX(CASE WHEN r = LEAST(n, n * 95 // 100 + 1) THEN value END) AS p95,
+SELECT user_id, COUNT(*) AS calls, ROUND(SUM(value::DECIMAL(18, 6)) / COUNT(*)::DOUBLE, 6) AS mean_ms, MAX(CASE WHEN r = LEAST(n, n * 50 // 100 + 1) THEN value END) AS p50, MAX(CASE WHEN r = LEAST(n, n * 95 // 100 + 1) THEN value END) AS p95,
   COUNT(*) FILTER (WHERE event_type = 'purchase') AS purchases FROM r GROUP BY user_id""")
 def session_dashboard(spark, sf_dir):
     """Per session (a user): calls, mean and nearest-rank latencies, a conditional count."""
     rows = table(spark, sf_dir, "events")
-    base = rows.groupBy("user_id").agg(F.count("*").alias("calls"), F.round(F.avg("value"), 6).alias("mean_ms"), F.count_if(F.col("event_type") == "purchase").alias("purchases"))
+    base = rows.groupBy("user_id").agg(F.count("*").alias("calls"), F.round(F.sum(F.col("value").cast("decimal(18,6)")).cast("double") / F.count("*"), 6).alias("mean_ms"), F.count_if(F.col("event_type") == "purchase").alias("purchases"))
     return base.join(measure.nearest_rank_percentiles(rows, ["user_id"], "value", {"p50": 50, "p95": 95}), "user_id")
 
 

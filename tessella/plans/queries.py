@@ -276,10 +276,10 @@ def paged_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
     rows = docs.select(F.col("source").alias("doc_id"), F.col("source").alias("doc_name"), F.col("doc_id").alias("row_id"), place.alias("idx"), "text", T.estimate_tokens(F.col("text")).alias("tokens"))
-    return rows.withColumn("page", F.floor(F.col("idx") / 10).cast("int")).withColumn("section", F.floor(F.col("idx") / 50).cast("string"))
+    return rows.withColumn("page", (F.floor(F.col("idx") / 10) + 1).cast("int")).withColumn("section", F.floor(F.col("idx") / 50).cast("string"))
 
 
-PAGED = f"""SELECT source AS doc_id, doc_id AS row_id, idx::INTEGER AS idx, (idx // 10)::INTEGER AS page, (idx // 50)::VARCHAR AS section, text, tokens FROM (
+PAGED = f"""SELECT source AS doc_id, doc_id AS row_id, idx::INTEGER AS idx, (idx // 10 + 1)::INTEGER AS page, (idx // 50)::VARCHAR AS section, text, tokens FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, {sql.estimate_tokens('text')} AS tokens FROM documents)"""
 
 
