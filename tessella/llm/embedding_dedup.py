@@ -4,8 +4,9 @@
 2. Sorted random-projection codes give each vertex a first list of ``k`` neighbours.
 3. NN-descent rounds: each vertex gathers the vectors of its neighbours and of those that name it, and every pair of
    them that beats one of the two lists enters it. Rounds end when the links in the lists grow no more.
-4. A list that is full of links is saturated and is enlarged to all vertices that can be reached by links: the members
-   of such a component are compared in blocks, which yields link counts, not pairs.
+4. A list that is full of links is saturated and may lack further ones: all members of its component are compared with
+   all rows of their label that the angle to a block's centre doesn't exclude, which yields link counts and joined
+   components, not pairs. A list that isn't full of links has lost none that was found.
 5. An audit compares a fixed number of vertices with all rows of their label; below ``recall`` the search goes on with
    further projections.
 
@@ -30,6 +31,7 @@ from tessella.llm.shared import components, drop_stash, stash
 BITS = 32
 CHUNK = 40
 BLOCK = 256
+WIDE = 2048
 EDGE = "v bigint, u bigint, s double"
 
 
@@ -151,28 +153,76 @@ def descend(lists: DataFrame, vertices: DataFrame, k: int, seed: int, best: int
     return rows.repartition(partitions, "c", "h").sortWithinPartitions("c", "h").mapInArrow(run, EDGE)
 
 
-def dense_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """(v, n): for each row (component, v, x, w), the weight of the other rows of its component at or above threshold.
+def dense_counts(vertices: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Links of the dense rows of labels (v, component, dense) with all rows of their label, as rows (v, n, a, b):
+    n is the weight of the rows that v links with (of the dense ones only, if v isn't dense), or a and b are components
+    that a link joins; a row without a component is one of its own.
 
-    A component is dealt into blocks of about BLOCK rows and each pair of blocks is one group.
+    Each component is dealt into blocks of about BLOCK rows. A row that links with a member of a block is within the
+    block's radius and the threshold's angle of the block's centre; the rows for which that holds meet the block.
     """
-    blocks = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    rows = members.join(blocks, "component").withColumn("b", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "v", "w", "x")
+    kind = vertices.schema["x"].dataType.simpleString()
+    rows = vertices.join(labels, "v", "left").select("g", "v", "x", "w", F.coalesce("component", "v").alias("c"), F.coalesce("dense", F.lit(False)).alias("dense"))
+    rows = stash(rows, "rows")
+    spread = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    blocks = rows.where("dense").groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    members = rows.where("dense").join(blocks, "c").withColumn("block", F.xxhash64("c", spread("v", "nb")))
+    members = stash(members.select("block", "g", "v", "x", "w", "c", "dense"), "members")
+
+    def centre(table: pa.Table) -> pa.Table:
+        x = _unit(_matrix(table["x"].combine_chunks()))
+        mean = x.mean(0)
+        mean = (mean if mean @ mean > 1e-12 else x[0]).astype(np.float32 if kind == "array<float>" else np.float64)
+        r = np.arccos(np.clip(x @ _unit(mean.astype(np.float64)), -1, 1)).max()
+        return pa.table({"block": table["block"][:1], "g": table["g"][:1], "x": pa.array([mean], table["x"].type), "r": pa.array([r])})
+
+    centres = stash(members.groupBy("block").applyInArrow(centre, f"block bigint, g bigint, x {kind}, r double"), "centres")
+    sizes = centres.groupBy("g").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("nj"))
+    sizes = sizes.join(rows.groupBy("g").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("ni")), "g")
+    one = rows.join(sizes, "g").withColumn("i", spread("v", "ni")).withColumn("j", every("nj")).select("g", "i", "j", F.col("v").alias("id"), "x", F.lit(None).cast("double").alias("r"))
+    two = centres.join(sizes, "g").withColumn("j", spread("block", "nj")).withColumn("i", every("ni")).select("g", "i", "j", F.col("block").alias("id"), "x", "r")
+    angle = float(np.arccos(np.clip(threshold, -1, 1)))
+
+    def meet(table: pa.Table) -> pa.Table:
+        r, ids = table["r"].to_numpy(), table["id"].to_numpy()
+        x = _unit(_matrix(table["x"].combine_chunks()))
+        own, to = np.flatnonzero(np.isnan(r)), np.flatnonzero(~np.isnan(r))
+        least = np.cos(np.minimum(np.pi, r[to] + angle)) - 1e-7  # rounding of the radius
+        v, block = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(0, len(own), BLOCK):
+            a, b = np.nonzero(x[own[k : k + BLOCK]] @ x[to].T >= least)
+            v.append(ids[own[k + a]])
+            block.append(ids[to[b]])
+        return pa.table({"v": np.concatenate(v), "block": np.concatenate(block)})
+
+    near = stash(one.unionByName(two).groupBy("g", "i", "j").applyInArrow(meet, "v bigint, block bigint"), "near")
+    parts = near.groupBy("block").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("parts"))
+    columns = ["block", "part", "asked", "v", "x", "w", "c", "dense"]
+    asking = near.join(parts, "block").withColumn("part", spread("v", "parts")).join(rows, "v").withColumn("asked", F.lit(False))
+    asked = members.join(parts, "block").withColumn("part", every("parts")).withColumn("asked", F.lit(True))
 
     def run(table: pa.Table) -> pa.Table:
-        b, v, w = (table[n].to_numpy() for n in ("b", "v", "w"))
+        v, w, c, dense, asked = (table[n].to_numpy() for n in ("v", "w", "c", "dense", "asked"))
         x = _unit(_matrix(table["x"].combine_chunks()))
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        one, two = np.flatnonzero(b == i), np.flatnonzero(b == j)
+        one, two = np.flatnonzero(asked), np.flatnonzero(~asked)
         linked = x[one] @ x[two].T >= threshold
         linked &= v[one][:, None] != v[two][None]
-        found = [(v[one], linked @ w[two])] + ([(v[two], linked.T @ w[one])] if i != j else [])
-        return pa.table({"v": np.concatenate([f[0] for f in found]), "n": np.concatenate([f[1] for f in found]).astype(np.int64)})
-
-    counted = rows.groupBy("component", "i", "j").applyInArrow(run, "v bigint, n bigint")
-    return counted.groupBy("v").agg(F.sum("n").alias("n"))
+        rest = ~dense[two].astype(bool)
+        p, q = np.nonzero(linked & (c[one][:, None] != c[two][None]))
+        join = np.unique(np.stack([c[one[p]], c[two[q]]], 1), axis=0)
+        ids = np.concatenate([v[one], v[two[rest]]])
+        n = np.concatenate([linked @ w[two], linked.T[rest] @ w[one]]).astype(np.int64)
+        none = pa.nulls(len(ids), pa.int64())
+        counts = pa.table({"v": ids, "n": n, "a": none, "b": none}).filter(pa.array(n > 0))
+        none = pa.nulls(len(join), pa.int64())
+        return pa.concat_tables([counts, pa.table({"v": none, "n": none, "a": join[:, 0], "b": join[:, 1]})])
+
+    met = asked.select(columns).unionByName(asking.select(columns)).groupBy("block", "part")
+    out = stash(met.applyInArrow(run, "v bigint, n bigint, a bigint, b bigint"), "dense")
+    for x in (rows, members, centres, near):
+        drop_stash(x)
+    return out
 
 
 def audit(vertices: DataFrame, degrees: DataFrame, threshold: float, queries: int) -> float:
@@ -250,15 +300,19 @@ def near_vectors(
             lists = new
         graph = lists.where(F.col("s") >= threshold).select("v", "u")
         full = graph.groupBy("v").agg(F.count("*").alias("m")).where(F.col("m") >= k).select("v")
-        labels = stash(components(graph, "v", "u").withColumnsRenamed({"id": "v", "component_id": "component"}), "labels")
-        crowded = labels.join(full, "v", "left_semi").select("component").distinct()
-        dense = stash(labels.join(crowded, "component", "left_semi").select("v", "component"), "dense")
-        members = vertices.select("v", "x", "w").join(dense, "v").select("component", "v", "x", "w")
-        inside = dense_counts(members, threshold)
+        labels = components(graph, "v", "u").withColumnsRenamed({"id": "v", "component_id": "component"})
+        crowded = labels.join(full, "v", "left_semi").select("component").distinct().withColumn("dense", F.lit(True))
+        labels = stash(labels.join(crowded, "component", "left").select("v", "component", F.coalesce("dense", F.lit(False)).alias("dense")), "labels")
+        dense = dense_counts(vertices, labels, threshold)
         both = graph.select("v", "u").unionByName(graph.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct()
-        both = both.join(dense, "v", "left_anti")
+        both = both.join(labels.where("dense"), "v", "left_anti")
         outside = both.join(vertices.select(F.col("v").alias("u"), "w"), "u").groupBy("v").agg(F.sum("w").alias("n"))
+        inside = dense.where("v is not null").select("v", "n")
         degrees = stash(inside.unionByName(outside).groupBy("v").agg(F.sum("n").alias("n")), "degrees")
+        joined = dense.where("a is not null").select("a", "b")
+        if not joined.isEmpty():
+            joined = joined.unionByName(labels.select(F.col("v").alias("a"), F.col("component").alias("b")))
+            labels = components(joined).withColumnsRenamed({"id": "v", "component_id": "component"})
         if audit(vertices, degrees, threshold, queries) >= recall or attempt == tries - 1:
             break
         edges = lists

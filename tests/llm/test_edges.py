@@ -7,6 +7,7 @@ import random
 import uuid
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +232,18 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_vectors(table.where("false")).count() == 0
 
 
+def test_near_vectors_of_two_families(spark):
+    """Lists full of a vertex's own family hide its links with the other one, and with a row of few links."""
+    rng = np.random.default_rng(8)
+    basis = np.linalg.qr(rng.standard_normal((16, 16)))[0]
+    family = lambda c: [c * basis[0] + np.sqrt(1 - c * c) * basis[1] + 0.002 * rng.standard_normal(16) for _ in range(12)]
+    vectors = family(1.0) + family(0.985) + [0.984 * basis[0] + np.sqrt(1 - 0.984**2) * basis[2]]
+    rows = [(i, [float(x) for x in v], 1) for i, v in enumerate(vectors)]
+    found = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == brute.near_vectors(rows, 0.98)
+    assert sum(r.kept for r in found) == 1
+
+
 def test_license_scan(spark, docs, rows, clashing, empty):
     planted = [
         (1, "A page of words.\nThis project is licensed under the terms of the MIT license.\nMore words.", "mit"),
