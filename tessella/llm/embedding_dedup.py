@@ -7,8 +7,9 @@
 4. A list that is full of links is saturated and may lack further ones: all members of its component are compared with
    all rows of their label that the angle to a block's centre doesn't exclude, which yields link counts and joined
    components, not pairs. A list that isn't full of links has lost none that was found.
-5. An audit compares a fixed number of vertices with all rows of their label; below ``recall`` the search goes on with
-   further projections.
+5. An audit compares vertices with all rows of their label until 200 with links are seen, or 64,000 without that many;
+   while the mean over them of the share of their links found is below ``recall``, the search goes on with twice the
+   projections. After ``tries`` searches below it, every row is compared as in 4, and nothing is left to chance.
 
 Links are pairs of double-precision cosine at or above the threshold; nothing below it links.
 
@@ -19,15 +20,20 @@ link with each other; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.shared import components, drop_stash, stash
 
+logger = logging.getLogger(__name__)
+
 BITS = 32
 CHUNK = 40
 BLOCK = 256
@@ -225,11 +231,30 @@ def dense_counts(vertices: DataFrame, labels: DataFrame, threshold: float) -> Da
     return out
 
 
-def audit(vertices: DataFrame, degrees: DataFrame, threshold: float, queries: int) -> float:
-    """Share of the true links of a fixed number of vertices that degrees (v, n) has: each is compared with all rows."""
-    chosen = vertices.orderBy(F.xxhash64("v", F.lit(3)), "v").limit(queries).select("v", "g", "x", "w").toPandas()
-    if not len(chosen):
-        return 1.0
+def audit(vertices: DataFrame, degrees: DataFrame, threshold: float, queries: int, linked: int = 200, most: int = 64_000) -> tuple[float, int, int]:
+    """Mean over audited vertices with links of the share of their links that degrees (v, n) has, the number of these
+    vertices, and of all audited ones. Vertices are drawn by a fixed hash, queries at first, and compared with all rows,
+    until linked of them have links or, with fewer, most of them (or all that there are) were drawn."""
+    total = vertices.count()
+    slots = max(1, -(-total // queries))
+    drawn = vertices.withColumn("slot", F.pmod(F.xxhash64("v", F.lit(3)), F.lit(slots)))
+    first, width, shares, asked = 0, 1, 0.0, 0
+    seen = 0
+    while first < slots and seen < linked and asked < most:
+        chosen = drawn.where((F.col("slot") >= first) & (F.col("slot") < first + width)).select("v", "g", "x", "w").toPandas()
+        first, width = first + width, min(4 * width, max(1, 8000 // queries))
+        asked += len(chosen)
+        if len(chosen):
+            true = true_links(vertices, chosen, threshold)
+            true = true.join(degrees.select("v", F.col("n").alias("f")), "v", "left")
+            have = F.least("n", F.coalesce("f", F.lit(0))) / F.col("n")
+            share, more = true.agg(F.sum(have), F.count("*")).first()
+            shares, seen = shares + (share or 0.0), seen + more
+    return shares / seen if seen else 1.0, seen, asked
+
+
+def true_links(vertices: DataFrame, chosen: pd.DataFrame, threshold: float) -> DataFrame:
+    """(v, n): weight of the rows that each chosen vertex links with, of all rows; those without links aren't returned."""
     by_group = {g: (p["v"].to_numpy(), _unit(np.stack(p["x"].to_numpy()).astype(np.float64))) for g, p in chosen.groupby("g")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,14 +264,14 @@ def audit(vertices: DataFrame, degrees: DataFrame, threshold: float, queries: in
                 at = np.flatnonzero(g == group)
                 q, y = by_group[group]
                 x = _unit(_matrix(batch.column(batch.schema.get_field_index("x")).take(pa.array(at))))
-                linked = (y @ x.T >= threshold) & (q[:, None] != v[at][None])
-                n = linked @ w[at]
-                yield pa.RecordBatch.from_arrays([pa.array(q[n > 0]), pa.array(n[n > 0])], ["v", "n"])
+                for i in range(0, len(q), BLOCK):
+                    own = q[i : i + BLOCK]
+                    linked = (y[i : i + BLOCK] @ x.T >= threshold) & (own[:, None] != v[at][None])
+                    n = linked @ w[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(own[n > 0]), pa.array(n[n > 0])], ["v", "n"])
 
-    true = vertices.select("v", "g", "x", "w").mapInArrow(run, "v bigint, n bigint").groupBy("v").agg(F.sum("n").alias("n"))
-    true = true.join(degrees.select("v", F.col("n").alias("f")), "v", "left")
-    want, have = true.agg(F.sum("n"), F.sum(F.least("n", F.coalesce("f", F.lit(0))))).first()
-    return (have or 0) / want if want else 1.0
+    true = vertices.select("v", "g", "x", "w").mapInArrow(run, "v bigint, n bigint")
+    return true.groupBy("v").agg(F.sum("n").alias("n"))
 
 
 def near_vectors(
@@ -257,7 +282,6 @@ def near_vectors(
     label: str = "label",
     k: int = 8,
     trees: int = 10,
-    rounds: int = 3,
     recall: float = 0.995,
     queries: int = 500,
     tries: int = 3,
@@ -274,16 +298,22 @@ def near_vectors(
     vertices = stash(vertices, "vectors")
     dims = [r[0] for r in vertices.select(F.size("x").alias("d")).distinct().collect()]
     edges: DataFrame | None = None
-    for attempt in range(tries):
+    for attempt in range(tries + 1):
+        if attempt == tries:  # the search doesn't reach the recall here: every row is compared
+            labels = stash(vertices.select("v", F.col("v").alias("component"), F.lit(True).alias("dense")), "labels")
+            dense = dense_counts(vertices, labels, threshold)
+            degrees = dense.where("v is not null").select("v", "n").groupBy("v").agg(F.sum("n").alias("n"))
+            labels = components(dense.where("a is not null"), "a", "b").withColumnsRenamed({"id": "v", "component_id": "component"})
+            break
         for dim in dims:  # vectors of one length are the usual case
             some = vertices.where(F.size("x") == dim)
-            new = projected(some, range(attempt * trees, (attempt + 1) * trees), dim).withColumn("fresh", F.lit(1))
+            new = projected(some, range(trees * (2**attempt - 1), trees * (2 ** (attempt + 1) - 1)), dim).withColumn("fresh", F.lit(1))
             edges = new if edges is None else edges.unionByName(new)
         if edges is None:
             edges = vertices.sparkSession.createDataFrame([], EDGE + ", fresh int")
         lists = stash(best_lists(edges, k), "lists")
         before = -1
-        for r in range(rounds):
+        for r in count():
             links = lists.where(F.col("s") >= threshold).count()
             if links <= before * 1.002:
                 break
@@ -313,7 +343,9 @@ def near_vectors(
         if not joined.isEmpty():
             joined = joined.unionByName(labels.select(F.col("v").alias("a"), F.col("component").alias("b")))
             labels = components(joined).withColumnsRenamed({"id": "v", "component_id": "component"})
-        if audit(vertices, degrees, threshold, queries) >= recall or attempt == tries - 1:
+        share, seen, asked = audit(vertices, degrees, threshold, queries)
+        logger.info("attempt %d: mean recall %.4f of %d linked vertices among %d audited", attempt, share, seen, asked)
+        if share >= recall:
             break
         edges = lists
     smallest = labels.join(vertices.select("v", "id"), "v").groupBy("component").agg(F.min("id").alias("low"))

@@ -244,6 +244,35 @@ def test_near_vectors_of_two_families(spark):
     assert sum(r.kept for r in found) == 1
 
 
+def test_audit_counts_vertices(spark):
+    """Lost pairs aren't outweighed by a large family, and pairs are looked for until some are seen."""
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.sqrt((x * x).sum(-1, keepdims=True))
+    family = unit(unit(rng.standard_normal(32)) + 0.002 * rng.standard_normal((300, 32)))
+    ones = unit(rng.standard_normal((40, 32)))
+    vectors = np.concatenate([family, ones, unit(ones + 0.01 * rng.standard_normal((40, 32)))])
+    vertices = [(i, 1, [float(x) for x in v], 1) for i, v in enumerate(vectors)]
+    vertices = spark.createDataFrame(vertices, "v long, g long, x array<double>, w long")
+    degrees = spark.createDataFrame([(i, 299) for i in range(300)], "v long, n long")
+    share, seen, asked = embedding_dedup.audit(vertices, degrees, 0.98, 500)
+    assert (seen, asked) == (380, 380) and abs(share - 300 / 380) < 1e-9
+    rare = vertices.where("v >= 300 and v <= 340").unionByName(spark.createDataFrame([(1000 + i, 1, [float(x) for x in v], 1) for i, v in enumerate(unit(rng.standard_normal((900, 32))))], vertices.schema))
+    assert embedding_dedup.audit(rare, degrees, 0.98, 100)[:2] == (0.0, 2)
+
+
+def test_near_vectors_isolated_pairs(spark):
+    """Pairs just above the threshold in one label; a search of too little effort is gone on with, then completed."""
+    rng = np.random.default_rng(10)
+    unit = lambda x: x / np.sqrt((x * x).sum(-1, keepdims=True))
+    ones = unit(rng.standard_normal((4000, 64)))
+    side = rng.standard_normal((150, 64))
+    side = unit(side - (side * ones[:150]).sum(1, keepdims=True) * ones[:150])
+    vectors = np.concatenate([ones, 0.981 * ones[:150] + np.sqrt(1 - 0.981**2) * side])
+    table = spark.createDataFrame([(i, [float(x) for x in v], 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(table, trees=1, tries=1).collect()}
+    assert found == {i: (1, i % 4000) if i % 4000 < 150 else (0, i) for i in range(4150)}
+
+
 def test_license_scan(spark, docs, rows, clashing, empty):
     planted = [
         (1, "A page of words.\nThis project is licensed under the terms of the MIT license.\nMore words.", "mit"),
