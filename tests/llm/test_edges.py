@@ -96,6 +96,15 @@ def test_crowded_region(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.near_duplicates(texts, 5, 80)
 
 
+def test_templated_source(spark):
+    """Pages of one template, 0.79 alike, crowd every region; pairs of them at 0.808 have little that the rest lacks."""
+    shared = " ".join(f"s{j}" for j in range(100))
+    pages = [f"{shared} q{i // 2} " + " ".join(f"p{i}x{j}" for j in range(12)) for i in range(600)]
+    table = spark.createDataFrame(list(enumerate(pages)), "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(table, k=1, percent=80).collect()}
+    assert found == {i: (113, i - i % 2) for i in range(600)}
+
+
 def test_quality_rules(docs, rows, clashing, empty):
     found = quality_rules.quality_rules(docs)
     assert found.columns[:5] == docs.columns
