@@ -1,29 +1,36 @@
 """Near-duplicate texts by an LSH forest over MinHash signatures, each link confirmed on the full shingle sets.
 
-A forest has ``TREES`` orders of each signature. A region of a tree is the rows that share the first d values of that
-order; it starts at d = 1 and gets deeper (2, 4, 5) only where it is crowded:
-
-- in a region of at most ``crowd`` rows all its rows are candidates of each other;
-- a larger one gives candidates with its smallest id, and is split by the next values;
-- a region that is still larger at full depth is finished in blocks: its rows outside its largest component are
-  compared with all its rows of other components, and only links come out. No row is cut off.
-
-So rows that share the first 5 values in any of the 25 trees always meet. Rows of similarity 0.8 don't with a chance of
-(1 - 0.8^5)^25 = 4.9e-5, of 0.85 with 4.3e-7.
+A forest has several orders of each signature: tree t's order begins at value t * depth. In each tree the rows are
+sorted by their order, and neighbours in it are candidates by the length of their common prefix. How long it must be
+is set by each region: a region of depth d is a run of rows with the same first d values, and a row's region is the
+shallowest one that holds at most ``crowd`` rows.
+
+1. Cells: to walk a tree in parallel, its rows are dealt by their first value; where more than ``ROOM`` rows share it,
+   by their first two values, and so on. Cells are whole regions, so no run is cut, and none grows with the input.
+2. Walk: each cell is sorted by the tree's order, common prefixes of neighbours are counted, and each row's region
+   follows from the runs. The rows of a region are candidates of each other.
+3. A region that is crowded at full depth gives candidates with its smallest id, and is then finished in blocks: its
+   rows outside its largest component are compared with all its rows of other components. No row is cut off.
+
+So rows that share the first ``depth`` values in any tree always meet. Depth and the number of trees follow from the
+similarity asked for: the deepest trees for which a pair at the threshold misses each other in all of them with a chance
+of at most ``LOSS``; for 80 percent 25 trees of depth 5 (4.9e-5; at 85 percent 4.3e-7).
 
 Candidates pass a test on packed signature bits that a true link fails with a chance below 1e-8, then the sets are
 compared. Texts of equal sets are one row throughout, so copies aren't expanded into pairs.
 
 Defined cases: A-Z are lower-cased and words split at ASCII white space; a text with fewer than ``k`` words is one
-shingle; a null text or one without words has an empty set and links with nothing; ids are expected to be unique and
-not null: rows that repeat an id count as one document, and a row without an id is kept, or a copy if its set has one.
-Words and shingles are compared by 64-bit hashes.
+shingle; a null text or one without words has an empty set and links with nothing; a very long text has a row like
+another, its whole set is compared; ids are expected to be unique and not null: rows that repeat an id count as one
+document, and a row without an id is kept, or a copy if its set has one; an empty table gives an empty result; other
+columns of the input aren't read, whatever their names. Words and shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +40,30 @@ from pyspark.sql import functions as F
 from tessella.llm.shared import components, drop_stash, stash
 from tessella.llm.wordhash import mix, shingle_hashes, texts, word_hashes
 
-TREES, DEPTH = 25, 5
-DEPTHS = (1, 2, 4, DEPTH)
-#: Those of the trees, and three more to fill the packed words.
 HASHES = 128
-#: Of the 128 four-bit values, those that two sets of similarity 0.8 share less often with a chance below 1e-8.
-MATCHES = 76
+#: Largest chance that a pair at the threshold shares no full-depth prefix in any tree.
+LOSS = 1e-4
+#: Rows of a cell that one task sorts; cells of full depth that are larger are crowded regions.
+ROOM = 512
 _FACTORS = np.random.default_rng(0xF0).integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 _NIBBLES = [f"s{i}" for i in range(HASHES // 16)]
 
 
+def shape(percent: int) -> tuple[int, int]:
+    """(trees, depth): the deepest trees whose loss at the threshold is at most LOSS."""
+    s = percent / 100
+    return next((HASHES // d, d) for d in (8, 7, 6, 5, 4, 3, 2, 1) if d == 1 or (1 - s**d) ** (HASHES // d) <= LOSS)
+
+
+def matches(percent: int, chance: float = 1e-8) -> int:
+    """Of the 128 four-bit values, those that two sets at the threshold share less often with at most this chance."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    total, least = 0.0, 0
+    while least < HASHES and (total := total + comb(HASHES, least) * p**least * (1 - p) ** (HASHES - least)) <= chance:
+        least += 1
+    return least
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """Smallest upper half of each multiple of the shingles."""
     out = np.full(HASHES, np.uint64(2**64 - 1))
@@ -52,7 +73,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
-    """(id, n_shingles, k1, k2, sig, s0..s7): a 128-bit digest of the set, its signature, and four bits of each value."""
+    """(id, n_shingles, k1, k2, sig, s0..s7): a 128-bit digest of the set, its signature as bytes that sort like its
+    values, and four bits of each value."""
     shifts = (np.arange(16, dtype=np.uint64) * np.uint64(4))[None, :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,18 +93,13 @@ def signatures(docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
             empty = pa.array(np.array(n, np.int64) == 0)
             digest = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (k1, k2)]
             digest = [pa.compute.if_else(empty, pa.scalar(None, pa.int64()), x) for x in digest]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sig) + 1, dtype=np.int32) * HASHES), pa.array(sig.ravel().view(np.int32)))
-            columns = [batch.column(0), pa.array(n, pa.int64()), *digest, lists]
+            rows = pa.array([x.tobytes() for x in sig.astype(">u4")], pa.binary())
+            columns = [batch.column(0), pa.array(n, pa.int64()), *digest, rows]
             columns += [pa.array(np.ascontiguousarray(packed[:, i]).view(np.int64)) for i in range(HASHES // 16)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "k1", "k2", "sig", *_NIBBLES])
 
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string"))
-    return rows.mapInArrow(run, "id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig array<int>, " + ", ".join(f"{s} bigint" for s in _NIBBLES))
-
-
-def _key(depth: int) -> Column:
-    """Region of a row: its tree and the first values of the tree's order."""
-    return F.xxhash64("t", F.slice("tail", 1, depth))
+    return rows.mapInArrow(run, "id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary, " + ", ".join(f"{s} bigint" for s in _NIBBLES))
 
 
 def _sized(a: str, b: str, percent: int) -> Column:
@@ -90,26 +107,96 @@ def _sized(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def cells(sets: DataFrame, trees: int, depth: int) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """Rows (cell, tail, id, n) of each tree, rows (cell, id, hub) of regions that are crowded at full depth, and the
+    stashed tables that both read.
+
+    Only regions of more than ROOM rows go a level deeper. There are at most trees * rows / ROOM of them, so their table
+    joins without moving the rows."""
+    orders = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("t"), F.substring("sig", t * (4 * depth) + 1, F.lit(4 * depth)).alias("tail")))
+    active = sets.select("id", "n", F.explode(orders).alias("x")).select("id", "n", "x.t", "x.tail")
+    found: list[DataFrame] = []
+    stashed: list[DataFrame] = []
+    for d in range(1, depth + 1):
+        keyed = active.withColumn("cell", F.xxhash64("t", F.substring("tail", 1, 4 * d)))
+        large = keyed.groupBy("cell").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where(F.col("m") > ROOM).select("cell", "hub")
+        large = stash(large, "large")
+        stashed.append(large)
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, [*found, keyed.select("cell", "tail", "id", "n")]), None, stashed
+        found.append(keyed.join(large, "cell", "left_anti").select("cell", "tail", "id", "n"))
+        active = keyed.join(large.select("cell"), "cell", "left_semi").drop("cell")
+    return reduce(DataFrame.unionByName, found), keyed.join(large, "cell").select("cell", "id", "hub"), stashed
+
+
+def walk(rows: DataFrame, depth: int, crowd: int, percent: int) -> DataFrame:
+    """(a, b, cell) of rows (cell, tail, id, n) in the sorted order of each cell: candidates a < b of equal regions, with
+    cell null; and rows (a, null, cell) of regions that are crowded at full depth, cell being the region then."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        for batch in batches:
+            table = pa.table(batch) if kept is None else pa.concat_tables([kept, pa.table(batch)])
+            cell = table["cell"].to_numpy()
+            # the last cell may go on in the next batch
+            cut = len(cell) - int((cell[::-1] != cell[-1]).argmax()) if cell[0] != cell[-1] else 0
+            kept = table.slice(cut)
+            if cut:
+                yield from found(table.slice(0, cut))
+        if kept is not None and len(kept):
+            yield from found(kept)
+
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell, ids, n = (table[c].to_numpy() for c in ("cell", "id", "n"))
+        tail = np.frombuffer(b"".join(table["tail"].to_pylist()), ">u4").reshape(len(cell), depth)
+        alike = np.zeros((len(cell), depth), bool)  # with the row before: the prefix up to this value is common
+        alike[1:] = np.logical_and.accumulate((tail[1:] == tail[:-1]) & (cell[1:] == cell[:-1])[:, None], axis=1)
+        region, open_ = np.full(len(cell), -1), np.ones(len(cell), bool)
+        for d in range(depth):
+            run_of = np.cumsum(~alike[:, d]) - 1
+            fits = open_ & (np.bincount(run_of) <= crowd)[run_of]
+            region[fits] = run_of[fits] * depth + d
+            open_ &= ~fits
+        a, b = [], []
+        for o in range(1, min(crowd, len(cell))):
+            i = np.flatnonzero((region[o:] == region[:-o]) & (region[o:] >= 0))
+            if not len(i):
+                break
+            few, many = np.minimum(n[i], n[i + o]), np.maximum(n[i], n[i + o])
+            i = i[100 * few >= percent * many]
+            a.append(np.minimum(ids[i], ids[i + o]))
+            b.append(np.maximum(ids[i], ids[i + o]))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "cell"])
+        if open_.any():
+            rest = np.flatnonzero(open_)
+            # a region's number: its cell and the values it shares
+            name = mix(cell[rest].view(np.uint64))
+            for d in range(depth):
+                name = mix(name + tail[rest, d].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rest]), pa.nulls(len(rest), pa.int64()), pa.array(name.view(np.int64))], ["a", "b", "cell"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "cell").sortWithinPartitions("cell", "tail", "id")
+    return dealt.mapInArrow(run, "a bigint, b bigint, cell bigint")
+
+
 def forest(sets: DataFrame, crowd: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """Candidate pairs (a, b), a < b, and rows (key, id) of regions that are crowded at full depth."""
-    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("t"), F.slice("sig", t * DEPTH + 1, DEPTH).alias("tail")))
-    active = sets.select("id", "n", F.explode(trees).alias("x")).select("id", "n", "x.t", "x.tail").withColumn("key", _key(1))
-    found: list[DataFrame] = []
-    for depth, deeper in zip(DEPTHS, [*DEPTHS[1:], 0]):
-        sizes = active.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1")
-        level = stash(active.join(sizes, "key"), "forest")
-        small = level.where(F.col("m") <= crowd).select("key", "id", "n")
-        other = small.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
-        pairs = small.join(other, "key").where((F.col("id") < F.col("b")) & _sized("n", "nb", percent))
-        found.append(pairs.select(F.col("id").alias("a"), "b"))
-        big = level.where(F.col("m") > crowd)
-        if big.isEmpty():
-            return reduce(DataFrame.unionByName, found), None
-        found.append(big.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
-        if not deeper:
-            return reduce(DataFrame.unionByName, found), big.select("key", "id")
-        active = big.select("id", "n", "t", "tail").withColumn("key", _key(deeper))
-    raise AssertionError
+    trees, depth = shape(percent)
+    rows, crowded, stashed = cells(sets, trees, depth)
+    found = stash(walk(rows, depth, crowd, percent), "forest")
+    pairs = found.where("b is not null").select("a", "b")
+    rest = found.where("b is null").select(F.col("cell").alias("key"), F.col("a").alias("id"))
+    hubs = rest.groupBy("key").agg(F.min("id").alias("hub"))
+    spokes = rest.join(hubs, "key").select("key", "id", "hub")
+    if crowded is not None:
+        spokes = spokes.unionByName(crowded.select(F.col("cell").alias("key"), "id", "hub"))
+    spokes = stash(spokes, "crowded")
+    drop_stash(*stashed)
+    if spokes.isEmpty():
+        return pairs, None
+    return pairs.unionByName(spokes.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))), spokes.select("key", "id")
 
 
 def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -123,7 +210,7 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         differ.append(F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))))
-    near = HASHES - reduce(lambda p, q: p + q, differ) >= MATCHES
+    near = HASHES - reduce(lambda p, q: p + q, differ) >= matches(percent)
     return pairs.join(one, "a").join(two, "b").where(near & _sized("a_n", "b_n", percent)).select("a", "b")
 
 
@@ -178,7 +265,10 @@ def _shared(one: list[np.ndarray], two: list[np.ndarray], width: int = 1 << 14)
 
 def crowded_links(rest: DataFrame, labels: DataFrame, rows: DataFrame, k: int, percent: int, asks: int = 64, block: int = 256) -> DataFrame:
     """Links that regions crowded at full depth still lack: in each, the rows outside its largest component are
-    compared with all rows of other components, in blocks, and only links come out."""
+    compared with all rows of other components, in blocks, and only links come out.
+
+    A row of an only component has no other to be compared with, so its text goes nowhere: the rows of a region's
+    largest component are sent to the blocks of those outside of it, and these to the blocks of all."""
     own = rest.distinct().join(labels.withColumnsRenamed({"component_id": "c"}), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
     own = stash(own, "crowded")
     sizes = own.groupBy("key", "c").agg(F.count("*").alias("m"))
@@ -220,14 +310,16 @@ def near_duplicates(
     likely = stash(_likely(pairs.distinct(), sets, percent), "likely")
     ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
     rows = wanted_texts(docs, ids if rest is None else ids.unionByName(rest.select("id")), text, key)
-    labels = components(confirmed(likely, rows, k, percent))
+    links = confirmed(likely, rows, k, percent)
+    labels = components(links)
     if rest is not None:
         more = crowded_links(rest, labels, rows, k, percent)
         labels = components(more.unionByName(labels.toDF("a", "b")))
-    drop_stash(rows)
     labels = labels.withColumnRenamed("id", "_v")
     found = sets.select("k1", "k2", F.col("id").alias("_v")).join(labels, "_v", "left").select("k1", "k2", F.coalesce("component_id", "_v").alias("component_id"))
-    out = all_rows.select("id", "n_shingles", "k1", "k2").join(stash(found, "components"), ["k1", "k2"], "left")
+    found = stash(found, "components")
+    drop_stash(rows, likely, links, sets)
+    out = all_rows.select("id", "n_shingles", "k1", "k2").join(found, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "id")
     kept = F.coalesce(component == F.col("id"), F.col("component_id").isNull())
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), kept.alias("kept"))

@@ -1,14 +1,17 @@
 """Quality rules: word statistics of whole texts, fixed base rules, and robust multivariate outliers.
 
 All of it is DataFrame expressions. The statistic vectors of each (language, source) group get a minimum covariance
-determinant estimate: concentration steps from coordinatewise medians keep the share ``support`` of the rows with the
-smallest Mahalanobis distances, and mean and covariance are taken from them until the determinants settle. A final
-reweighted estimate gives the distances by which documents are rejected.
-
-Defined cases: a null or empty text has no words and fails the base rules; a null language or source is a value like
-another; groups of fewer than ``min_rows`` documents are pooled by language, then all together, and a pool that is
-still smaller rejects nothing beyond the base rules; repeated rows are judged one by one; input columns named like an
-output are replaced.
+determinant estimate: from three starts, concentration steps keep the share ``support`` of the rows with the smallest
+Mahalanobis distances and take mean and covariance from them until the determinants settle; the start with the smallest
+determinant wins. The covariance has the factors that make it consistent for a normal law, and a fixed ridge (FLOORS): the
+statistics of most documents are nearly constant, and the ridge says which differences matter at all. So distances are
+at most those of the plain estimate, and the chi-square cut-off errs on the side of keeping. A reweighted estimate gives
+the final distances.
+
+Defined cases: a null or empty text has no words and fails the base rules; a very long text is judged whole, like
+another; a null language or source is a value like another; groups of fewer than ``min_rows`` documents are pooled by
+language, then all together, and a pool that is still smaller rejects nothing beyond the base rules; repeated rows are
+judged one by one; an empty table gives an empty result; input columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import drop_stash, stash
+from tessella.llm.shared import broadcast_if_small, drop_stash, stash
 
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
@@ -29,6 +32,10 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: in repeated windows.
 FLOORS = (0.06, 0.05, 0.12, 0.08)
 P = len(FLOORS)
+#: Share of a normal law that the reweighted estimate keeps.
+REWEIGHT = 0.975
+#: Columns of an estimate: mean and lower Cholesky factor.
+ESTIMATE = [f"m{i}" for i in range(P)] + [f"l{i}{j}" for i in range(P) for j in range(i + 1)]
 
 
 def chi2_cdf(x: float, dof: int) -> float:
@@ -117,50 +124,83 @@ def _distance() -> Column:
     return reduce(lambda s, x: s + x * x, z[1:], z[0] * z[0])
 
 
-def _factor(rows: DataFrame, scale: float) -> DataFrame:
+def _factor(rows: DataFrame, scale: float, keys: tuple[str, ...] = ("_g",)) -> DataFrame:
     """Mean, Cholesky factor of the scaled covariance (with the floors' squares on its diagonal) and log determinant."""
     sums = [F.avg(f"_x{i}").alias(f"m{i}") for i in range(P)]
     sums += [F.covar_pop(f"_x{i}", f"_x{j}").alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)]
-    found = rows.groupBy("_g").agg(F.count("*").alias("n"), *sums)
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
+    found = found.withColumns({f"c{i}{j}": F.col(f"c{i}{j}") * scale + (FLOORS[i] ** 2 if i == j else 0.0) for i in range(P) for j in range(i + 1)})
+    return _cholesky(found).select(*keys, "n", *ESTIMATE, "logdet")
+
+
+def _cholesky(rows: DataFrame) -> DataFrame:
+    """rows with the factor l<i><j> of their covariance c<i><j> and its log determinant."""
     for i in range(P):
         for j in range(i + 1):
-            value = F.col(f"c{i}{j}") * scale + (FLOORS[i] ** 2 if i == j else 0.0)
-            value = reduce(lambda s, k: s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), value)
-            found = found.withColumn(f"l{i}{j}", F.sqrt(value) if i == j else value / F.col(f"l{j}{j}"))
-    logdet = reduce(lambda s, i: s + 2 * F.log(f"l{i}{i}"), range(P), F.lit(0.0))
-    keep = [f"m{i}" for i in range(P)] + [f"l{i}{j}" for i in range(P) for j in range(i + 1)]
-    return found.select("_g", "n", *keep, logdet.alias("logdet"))
+            value = reduce(lambda s, k: s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}"))
+            rows = rows.withColumn(f"l{i}{j}", F.sqrt(value) if i == j else value / F.col(f"l{j}{j}"))
+    return rows.withColumn("logdet", reduce(lambda s, i: s + 2 * F.log(f"l{i}{i}"), range(P), F.lit(0.0)))
 
 
-def estimate(vectors: DataFrame, support: float, max_steps: int) -> DataFrame:
-    """MCD estimates of rows (_g, _x0.._x3): one row per group. The result is a small stashed table, one row a group."""
+def first_estimates(vectors: DataFrame) -> DataFrame:
+    """(_g, start, m<i>, l<i><j>): three starts a group, all centred at the coordinatewise medians. Their shapes are the
+    median absolute deviations alone, and with the correlations of squashed and of unit-length standardised vectors."""
     percentile = lambda c: F.percentile_approx(c, 0.5, 2000)
     middle = vectors.groupBy("_g").agg(*[percentile(f"_x{i}").alias(f"m{i}") for i in range(P)])
     middle = stash(middle, "mcd")
-    spread = vectors.join(middle, "_g").groupBy("_g").agg(
+    small = broadcast_if_small(middle)
+    spread = vectors.join(small, "_g").groupBy("_g").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(P)],
-        *[F.greatest(1.4826 * percentile(F.abs(F.col(f"_x{i}") - F.col(f"m{i}"))), F.lit(FLOORS[i])).alias(f"l{i}{i}") for i in range(P)],
+        *[F.greatest(1.4826 * percentile(F.abs(F.col(f"_x{i}") - F.col(f"m{i}"))), F.lit(FLOORS[i])).alias(f"w{i}") for i in range(P)],
     )
-    zero = {f"l{i}{j}": F.lit(0.0) for i in range(P) for j in range(i)}
-    at = stash(spread.withColumns(zero).withColumn("logdet", F.lit(1e9)), "mcd")
+    spread = stash(spread, "mcd")
     drop_stash(middle)
-    alpha = chi2_quantile(support, P)
-    consistency = support / chi2_cdf(alpha, P + 2)
-    before: dict = {}
+    zs = vectors.join(broadcast_if_small(spread), "_g").select("_g", *[((F.col(f"_x{i}") - F.col(f"m{i}")) / F.col(f"w{i}")).alias(f"z{i}") for i in range(P)])
+    length = F.sqrt(reduce(lambda s, i: s + F.col(f"z{i}") * F.col(f"z{i}"), range(P), F.lit(0.0)))
+    shapes = [
+        F.struct(F.lit(1).alias("start"), *[F.tanh(f"z{i}").alias(f"y{i}") for i in range(P)]),
+        F.struct(F.lit(2).alias("start"), *[F.when(length > 0, F.col(f"z{i}") / length).otherwise(0.0).alias(f"y{i}") for i in range(P)]),
+    ]
+    found = zs.select("_g", F.inline(F.array(*shapes))).groupBy("_g", "start")
+    found = found.agg(*[F.covar_pop(f"y{i}", f"y{j}").alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)]).join(broadcast_if_small(spread), "_g")
+    found = found.withColumns({f"c{i}{i}": F.col(f"c{i}{i}") + (FLOORS[i] / F.col(f"w{i}")) ** 2 for i in range(P)})
+    found = _cholesky(found).withColumns({f"l{i}{j}": F.col(f"l{i}{j}") * F.col(f"w{i}") for i in range(P) for j in range(i + 1)})
+    plain = {f"l{i}{j}": F.col(f"w{i}") if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)}
+    found = spread.withColumns(plain).withColumn("start", F.lit(0)).select("_g", "start", *ESTIMATE).unionByName(found.select("_g", "start", *ESTIMATE))
+    found = stash(found, "mcd")
+    drop_stash(spread)
+    return found
+
+
+def _measured(vectors: DataFrame, at: DataFrame, *keys: str) -> DataFrame:
+    """vectors with their squared distance _d by the estimates of their group."""
+    return vectors.join(broadcast_if_small(at), "_g").select("_g", *keys, *[f"_x{i}" for i in range(P)], _distance().alias("_d"))
+
+
+def estimate(vectors: DataFrame, support: float, max_steps: int) -> DataFrame:
+    """MCD estimates of rows (_g, _x0.._x3), a small stashed table of one row a group: (_g, n, m<i>, l<i><j>, logdet).
+
+    Concentration steps run from each start until all determinants settle; the smallest determinant wins."""
+    at = first_estimates(vectors)
+    consistency = support / chi2_cdf(chi2_quantile(support, P), P + 2)
+    before: float | None = None
     for _ in range(max_steps):
-        measured = vectors.join(at, "_g").select("_g", *[f"_x{i}" for i in range(P)], _distance().alias("_d"))
-        cut = measured.groupBy("_g").agg(F.percentile_approx("_d", support, 2000).alias("_cut"))
-        inner = measured.join(cut, "_g").where("_d <= _cut")
-        new = stash(_factor(inner, consistency), "mcd")
-        drop_stash(at)
+        measured = _measured(vectors, at, "start")
+        cut = measured.groupBy("_g", "start").agg(F.percentile_approx("_d", support, 2000).alias("_cut"))
+        cut = stash(cut, "mcd")
+        inner = measured.join(broadcast_if_small(cut), ["_g", "start"]).where("_d <= _cut")
+        new = stash(_factor(inner, consistency, ("_g", "start")), "mcd")
+        drop_stash(at, cut)
         at = new
-        now = at.agg(F.sum("logdet"), F.count("*")).first()
-        if before and abs((now[0] or 0) - before["sum"]) <= 1e-4 * max(now[1], 1):
+        total, n = at.agg(F.sum("logdet"), F.count("*")).first()
+        if before is not None and abs((total or 0) - before) <= 1e-4 * max(n, 1):
             break
-        before = {"sum": now[0] or 0}
-    measured = vectors.join(at, "_g").select("_g", *[f"_x{i}" for i in range(P)], _distance().alias("_d"))
-    final = stash(_factor(measured.where(F.col("_d") <= chi2_quantile(0.975, P)), 1.0), "mcd")
-    drop_stash(at)
+        before = total or 0
+    best = at.groupBy("_g").agg(F.min(F.struct("logdet", "start", *ESTIMATE)).alias("b")).select("_g", "b.*").drop("start", "logdet")
+    best = stash(best, "mcd")
+    inner = _measured(vectors, best).where(F.col("_d") <= chi2_quantile(REWEIGHT, P))
+    final = stash(_factor(inner, REWEIGHT / chi2_cdf(chi2_quantile(REWEIGHT, P), P + 2)), "mcd")
+    drop_stash(at, best)
     return final
 
 
@@ -172,7 +212,7 @@ def quality_rules(
     support: float = 0.75,
     confidence: float = 0.99999,
     min_rows: int = 60,
-    max_steps: int = 6,
+    max_steps: int = 12,
 ) -> DataFrame:
     """docs with STATS, base_failed, distance (squared, null if there is no estimate) and kept.
 
@@ -190,21 +230,21 @@ def quality_rules(
     small = F.col("_n") < min_rows
     pools = sizes.where(small).groupBy("_l").agg(F.sum("_n").alias("_p"))
     named = sizes.join(pools.withColumnRenamed("_l", "_pl"), F.col("_l").eqNullSafe(F.col("_pl")), "left")
-    key = F.when(~small, F.to_json(F.struct("_l", "_o"))).when(F.col("_p") >= min_rows, F.to_json(F.struct("_l"))).otherwise("all")
+    # a group, a language's small sources and all the rest never share a key: nulls are written out, and the kind leads
+    tag = lambda kind, *c: F.concat(F.lit(kind), F.to_json(F.struct(*c), {"ignoreNullFields": "false"}))
+    key = F.when(~small, tag("group", "_l", "_o")).when(F.col("_p") >= min_rows, tag("language", "_l")).otherwise("all")
     named = stash(named.select("_l", "_o", key.alias("_g")), "mcd")
     xs = [f"_x{i}" for i in range(P)]
     vectors = own.where("not base_failed").select(F.col(lang).alias("_vl"), F.col(source).alias("_vo"), *xs)
-    vectors = vectors.join(named, F.col("_l").eqNullSafe(F.col("_vl")) & F.col("_o").eqNullSafe(F.col("_vo"))).select("_g", *xs)
-    found = estimate(vectors, support, max_steps).where(F.col("n") >= support * min_rows / 2)
-    per_source = named.join(found.withColumnRenamed("n", "_n"), "_g", "left").drop("_n", "_g", "logdet")
-    params = stash(per_source, "mcd")
-    drop_stash(named)
-    names = [f"m{i}" for i in range(P)] + [f"l{i}{j}" for i in range(P) for j in range(i + 1)]
+    vectors = vectors.join(broadcast_if_small(named), F.col("_l").eqNullSafe(F.col("_vl")) & F.col("_o").eqNullSafe(F.col("_vo"))).select("_g", *xs)
+    found = estimate(vectors, support, max_steps)
+    params = stash(named.join(found.where(F.col("n") >= support * min_rows / 2).drop("n", "logdet"), "_g", "left").drop("_g"), "mcd")
+    drop_stash(named, found)
     cond = F.col("_l").eqNullSafe(F.col(f"_own.{lang}")) & F.col("_o").eqNullSafe(F.col(f"_own.{source}"))
-    clash = {c: c for c in own.columns if c in names}
+    clash = {c: c for c in own.columns if c in ESTIMATE}
     if clash:  # columns of the input with an estimate's name are set aside meanwhile
         own = own.withColumnsRenamed({c: f"_in_{c}" for c in clash})
-    judged = own.alias("_own").join(params, cond, "left").withColumn("distance", _distance())
+    judged = own.alias("_own").join(broadcast_if_small(params), cond, "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(confidence, P), F.lit(True))
-    judged = judged.withColumn("kept", kept).drop("_l", "_o", *names, *xs)
+    judged = judged.withColumn("kept", kept).drop("_l", "_o", *ESTIMATE, *xs)
     return judged.withColumnsRenamed({f"_in_{c}": c for c in clash}) if clash else judged

@@ -1,46 +1,29 @@
-"""Intermediate tables in the cluster's shared folder, and connected components of link tables."""
+"""Intermediate tables in the cluster's shared folder, connected components of link tables, and ranks in hot groups."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.stash import drop_stash, new_path, shared_dir, stash  # noqa: F401  for the operators
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a new local one if that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "tessella-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+#: An id with more links than this is joined apart, by a small table of such ids.
+HOT = 500
+#: Rows of a table with a few numbers a row that may go to every executor.
+SMALL = 100_000
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: lineage ends here, and a lost executor
-    costs nothing that was stashed. The table stays until drop_stash() or until the folder is cleared."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
+def broadcast_if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, marked for broadcast where it has at most ``most`` rows; a larger one is left to an ordinary join."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
-def drop_stash(df: DataFrame) -> None:
-    """Delete a stashed table that no later step reads."""
-    path = getattr(df, "_stash_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def with_minimum(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """edges (u, v) with their u's m of low (u, m, n). Rows of an id with many links don't meet in one task: such ids are
+    few (at most one for HOT links), and their small table joins apart."""
+    hot = low.where(F.col("n") > HOT).select("u", "m")
+    rest = low.where(F.col("n") <= HOT).select("u", "m")
+    return edges.join(hot, "u").unionByName(edges.join(hot, "u", "left_anti").join(rest, "u"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -49,18 +32,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Alternates large-star and small-star steps (both are a grouped minimum and a join), so the number of rounds
     grows with the logarithm of the longest path. Links stay in Spark; each round's table is written to the shared
-    folder, and only its counts come to the driver. Hot ids are pre-aggregated in the minimum; the join is an
-    ordinary one that adaptive execution may split. Links that already are stars (id, component_id) need no round.
+    folder, and only its counts come to the driver. Hot ids are pre-aggregated in the minimum and joined apart. Links
+    that already are stars (id, component_id) need no round.
     """
     found = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges, last = _observed(found)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # v > u >= m holds for each row, so the links are oriented from the larger to the smaller id
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = with_minimum(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_minimum(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new, now = _observed(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         drop_stash(edges)
         edges = new
@@ -78,3 +61,25 @@ def _observed(edges: DataFrame) -> tuple[DataFrame, dict]:
     digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     out = stash(edges.observe(seen, F.count(F.lit(1)).alias("n"), digest.alias("digest")), "links")
     return out, seen.get
+
+
+def ranked(rows: DataFrame, group: str, order: list[str | Column], name: str = "rank") -> DataFrame:
+    """rows with their number (from 0) within the group in the given order; the result is a stashed table.
+
+    A hot group isn't numbered by one task: rows are dealt by ranges of group and order, numbered within their range,
+    and each range starts after the counts of the group's earlier ranges. Rows that are equal in all of it are told
+    apart by their place in the input."""
+    columns = [F.col(x) if isinstance(x, str) else x for x in order]
+    keyed = rows.withColumns({f"_o{i}": c for i, c in enumerate(columns)}).withColumn("_u", F.monotonically_increasing_id())
+    keys = [*[f"_o{i}" for i in range(len(columns))], "_u"]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.repartitionByRange(parts, group, *keys).withColumn("_p", F.spark_partition_id())
+    dealt = stash(dealt, "dealt")
+    counts = dealt.groupBy(group, "_p").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_p")) - F.col("_n")
+    counts = counts.select(F.col(group).alias("_g"), F.col("_p").alias("_q"), before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy(group, "_p").orderBy(*keys)) - 1
+    out = dealt.withColumn("_r", own).join(counts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    out = stash(out.withColumn(name, F.col("_before") + F.col("_r")).select(*rows.columns, name), "ranked")
+    drop_stash(dealt)
+    return out
