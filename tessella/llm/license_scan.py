@@ -1,53 +1,88 @@
 """License scan: a paragraph classifier trained on templates, whose predictions a template comparison confirms.
 
-Paragraphs are lines. Those that hold a licence cue are candidates; others have no features and are "unknown" by
-definition. A multinomial logistic regression on the presence of word 1- to 3-grams is fitted on windows of the
-templates below and on paragraphs that speak of licences without granting one; a temperature fitted on held-out
-windows calibrates its probabilities, "unknown" being one of the classes. A prediction counts where its probability
-reaches ``least`` and a template of the family shares enough of its word pairs with the paragraph.
-
-All steps are DataFrame expressions and Spark ML; scoring joins the candidates' n-grams with the weight table, whose
-size the templates bound.
-
-Defined cases: a null or empty text has no paragraph and no licence; several licences in one document give its
-families in alphabetical order; repeated rows are scanned one by one; rows that share an id share their result.
+A document is cut into paragraphs: comment marks are taken off its lines, lines of at most ``WRAPPED`` characters that
+follow each other without a blank line between them are joined, as hard-wrapped notices need, and each such line also
+stays a paragraph of its own, as notices of one line stand between other lines. A paragraph of more than ``WINDOW`` words is
+scored in overlapping windows. Every window goes through the classifier; there is no filter of words before it.
+
+The classifier is a multinomial logistic regression on the presence of word 1- to 3-grams. Its known classes are fitted
+on windows of the templates below, and "unknown" on single template words and on a bounded sample of the documents' own
+windows that share next to nothing with a template. A first fit leaves some templates out; on their windows, and on windows
+of the sample that it hasn't seen, a temperature is chosen that calibrates its probabilities. A prediction counts where its
+probability reaches ``least`` and a template of its family shares enough of its word pairs with the window, one of them
+a pair that only this family has. ``least`` is low as the temperature speaks for unseen wordings; the template decides.
+
+All steps are DataFrame expressions and Spark ML's transformers, which run in the JVM.
+
+Defined cases: a null or empty text has no paragraph and no licence; a very long text is scanned whole, window by window;
+several licences in one document give its families in alphabetical order; a paragraph that a document repeats counts once;
+repeated rows are scanned one by one; rows that share an id share their result; an empty table gives an empty result; other
+columns of the input aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, NGram
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.shared import drop_stash, stash
 
-CUE = r"(?i)licen[cs]|spdx|copyright|creative commons|public domain|redistribut|permission is hereby|\bcc0\b|\bcc[ -]by|\bgpl|\bunlicense"
 UNKNOWN = "unknown"
+#: Number of the sample's windows among the templates.
+SAMPLE = -2
+#: Characters of a line that may be a part of a wrapped paragraph; words of a window, and of the step to the next one.
+WRAPPED, WINDOW, STEP = 100, 64, 48
+#: Marks of comments at a line's start and end.
+COMMENT = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+!?|#+|--+|;+|%+|<!--|\.\.|(?i:rem|dnl)\b)*[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
+#: A line's end between two lines that are short and not blank.
+JOINT = rf"\n(?<=(?:^|\n)[^\n]{{1,{WRAPPED}}}\n)(?=[^\n]{{1,{WRAPPED}}}(?:\n|$))"
 #: Short notices and opening words of public licences, by family.
 TEMPLATES = {
     "agpl-3.0": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Licensed under the GNU Affero General Public License, version 3.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "This project is licensed under the Apache License 2.0.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
+    "artistic-2.0": [
+        "This is free software, licensed under: The Artistic License 2.0 (GPL Compatible)",
+        "Released under the Artistic License 2.0.",
+        "SPDX-License-Identifier: Artistic-2.0",
+    ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
+    "bsd-2-clause": [
+        "Released under the BSD 2-Clause License.",
+        "This project is licensed under the BSD 2-Clause Simplified License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ],
     "bsd-3-clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Released under the BSD 3-Clause License.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "This article is distributed under the terms of the Creative Commons Attribution 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-4.0",
     ],
     "cc-by-nc": [
@@ -58,6 +93,7 @@ TEMPLATES = {
     "cc-by-sa": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Text is available under the Creative Commons Attribution-ShareAlike License.",
         "SPDX-License-Identifier: CC-BY-SA-4.0",
     ],
     "cc0": [
@@ -65,21 +101,35 @@ TEMPLATES = {
         "This work is dedicated to the public domain under CC0 1.0 Universal.",
         "SPDX-License-Identifier: CC0-1.0",
     ],
+    "epl-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "Licensed under the GPL v3.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
     ],
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
         "Licensed under the GNU Lesser General Public License, version 3.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
         "SPDX-License-Identifier: LGPL-3.0-only",
     ],
     "mit": [
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
     ],
     "mpl-2.0": [
@@ -87,10 +137,20 @@ TEMPLATES = {
         "Licensed under the Mozilla Public License, version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
+    "ofl-1.1": [
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+        "SPDX-License-Identifier: OFL-1.1",
+    ],
     "unlicense": [
         "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
         "SPDX-License-Identifier: Unlicense",
     ],
+    "zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "SPDX-License-Identifier: Zlib",
+    ],
     # these speak of licences and grant none
     UNKNOWN: [
         "The driver had lost his license and walked home.",
@@ -110,20 +170,50 @@ TEMPLATES = {
         "The software license server is not available, contact the administrator.",
     ],
 }
+CLASSES = sorted(TEMPLATES)
+
+
+@dataclass(frozen=True)
+class Model:
+    """The vocabulary and weights of the fit on all templates, and the temperature found on those held out."""
+
+    vectors: CountVectorizerModel
+    classifier: LogisticRegressionModel
+    heat: float
 
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"), F.lit(0))
 
 
-def _tuples(words: Column, n: int) -> Column:
-    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
+def windows(words: Column) -> Column:
+    """Windows of at most WINDOW words, a new one each STEP words."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (WINDOW - STEP)), F.lit(STEP))
+    return F.when(F.size(words) == 0, F.array().cast("array<array<string>>")).when(F.size(words) <= WINDOW, F.array(words)).otherwise(F.transform(starts, lambda a: F.slice(words, a, WINDOW)))
+
+
+def document_windows(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(id, line, w): the windows of all distinct paragraphs of each document: of the joined lines of wrapped blocks, and
+    of the single lines. line is the paragraph's place among them."""
+    rows = docs.select(F.col(key).alias("id"), F.regexp_replace(F.col(text).cast("string"), COMMENT, "").alias("bare"))
+    rows = rows.withColumn("joined", F.regexp_replace("bare", JOINT, " "))
+    both = F.when(F.col("bare") == F.col("joined"), F.split("bare", "\n")).otherwise(F.concat(F.split("joined", "\n"), F.split("bare", "\n")))
+    rows = rows.select("id", F.posexplode(F.array_distinct(both)).alias("line", "p")).where(F.length("p") > 0)
+    rows = rows.select("id", "line", words_of(F.col("p")).alias("w"))
+    return rows.select("id", "line", F.explode(windows(F.col("w"))).alias("w"))
+
 
+def with_grams(rows: DataFrame) -> DataFrame:
+    """rows (.., w) with their word 1- to 3-grams."""
+    for n in (2, 3):
+        rows = NGram(n=n, inputCol="w", outputCol=f"w{n}").transform(rows)
+    return rows.withColumn("grams", F.concat("w", "w2", "w3")).drop("w2", "w3")
 
-def grams(words: Column) -> Column:
-    """Distinct word 1- to 3-grams."""
-    return F.array_distinct(F.concat(words, _tuples(words, 2), _tuples(words, 3)))
+
+def pairs_of(words: Column) -> Column:
+    """Distinct neighbouring words; a single word counts by itself."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 1))
+    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, 2), " ")))
 
 
 def _table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
@@ -136,56 +226,69 @@ def templates(spark: SparkSession) -> DataFrame:
     return _table(spark, rows, "family: string, n: int, t: string").withColumn("w", words_of(F.col("t"))).drop("t")
 
 
-def training_windows(spark: SparkSession) -> DataFrame:
-    """(family, grams, held): windows of at least 60 percent of a template's words, and short ones as "unknown"."""
+def template_windows(spark: SparkSession, each: int = 40) -> DataFrame:
+    """(family, n, w, held): at most each windows of template n, of at least 60 percent of its words, and single words
+    as "unknown". Every third template of a family is held out, with all its windows."""
+    held = (F.col("n") % 3 == 1) & (F.col("family") != UNKNOWN)
     spans = templates(spark).withColumn("a", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.size("w") * 0.4).cast("int")))))
     spans = spans.withColumn("b", F.explode(F.sequence(F.greatest(F.lit(1), F.ceil(F.size("w") * 0.6).cast("int")), F.size("w") - F.col("a") + 1)))
-    spans = spans.select("family", F.slice("w", F.col("a"), F.col("b")).alias("w"), F.xxhash64("family", "n", "a", "b").alias("h"))
-    # a long template doesn't outweigh the others: at most about 60 windows each, by a fixed hash
-    spans = spans.withColumn("r", F.row_number().over(_by_family("h"))).where("r <= 180").drop("r")
-    tails = templates(spark).where(F.col("family") != UNKNOWN).withColumn("a", F.explode(F.sequence(F.lit(1), F.size("w"))))
-    tails = tails.select(F.lit(UNKNOWN).alias("family"), F.slice("w", F.col("a"), 1).alias("w"), F.xxhash64("family", "n", "a").alias("h"))
-    rows = spans.unionByName(tails).select("family", grams(F.col("w")).alias("grams"), (F.pmod("h", F.lit(4)) == 0).alias("held"))
-    return rows
-
-
-def _by_family(order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("family").orderBy(order)
-
-
-def fit(spark: SparkSession, iterations: int = 40, penalty: float = 0.002) -> tuple[DataFrame, list[str], list[float], float]:
-    """(weights: gram, w array by class), classes, intercepts and the calibrated temperature."""
-    rows = stash(training_windows(spark).coalesce(1), "licence-windows")
-    classes = sorted(TEMPLATES)
-    number = F.coalesce(*[F.when(F.col("family") == c, F.lit(float(i))) for i, c in enumerate(classes)])
-    vectors = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0).fit(rows)
-    train = vectors.transform(rows.where("not held")).select("features", number.alias("label"), "family")
-    sizes = {r[0]: r[1] for r in train.groupBy("family").agg(F.count("*")).collect()}
-    share = F.coalesce(*[F.when(F.col("family") == c, F.lit(1000.0 / len(classes) / sizes[c])) for c in sizes])
-    model = LogisticRegression(maxIter=iterations, regParam=penalty, family="multinomial", weightCol="weight", standardization=False)
-    model = model.fit(train.withColumn("weight", share).cache())
-    matrix, intercepts = model.coefficientMatrix.toArray().T.tolist(), model.interceptVector.toArray().tolist()
-    weights = [{"gram": g, "w": [round(x, 6) for x in w]} for g, w in zip(vectors.vocabulary, matrix)]
-    table = stash(_table(spark, weights, "gram: string, w: array<double>"), "licence-weights")
-    held = rows.where("held").withColumn("uid", F.monotonically_increasing_id())
-    held = stash(held, "licence-held")
-    scored = logits(held.select("uid", F.explode("grams").alias("gram")), table, intercepts)
-    scored = held.join(scored, "uid").select("z", number.cast("int").alias("y"))
-    heats = scored.withColumn("heat", F.explode(F.array(*[F.lit(x / 10) for x in (5, 6, 7, 8, 9, 10, 12, 15, 20, 30, 40)])))
+    order = Window.partitionBy("family", "n").orderBy(F.xxhash64("family", "n", "a", "b"))
+    spans = spans.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each)
+    spans = spans.select("family", "n", F.slice("w", F.col("a"), F.col("b")).alias("w"), held.alias("held"))
+    singles = templates(spark).where(F.col("family") != UNKNOWN).select(F.explode("w").alias("w")).distinct()
+    return spans.unionByName(singles.select(F.lit(UNKNOWN).alias("family"), F.lit(-1).alias("n"), F.array("w").alias("w"), F.lit(False).alias("held")))
+
+
+def unknown_windows(docs: DataFrame, text: str, key: str, documents: int, rows: int) -> DataFrame:
+    """(family, n, w, held): at most rows windows of about documents documents, drawn by a hash of their id, that hold less
+    than a fifth of any template's word pairs. A quarter of them is held out."""
+    total = docs.count()
+    some = docs.where(F.pmod(F.xxhash64(key, F.lit("licence")), F.lit(max(1, total // documents))) == 0).limit(2 * documents)
+    found = document_windows(some, text, key).withColumn("h", F.xxhash64("id", "line", F.array_join("w", " ")))
+    found = found.orderBy("h").limit(rows)
+    shapes = template_pairs(docs.sparkSession)
+    hits = found.select("h", F.explode(pairs_of(F.col("w"))).alias("gram")).join(F.broadcast(shapes), "gram")  # bounded by the templates
+    near = hits.groupBy("h", "family", "n", "size").agg(F.count("*").alias("hits")).where(F.col("hits") >= 0.2 * F.col("size")).select("h").distinct()
+    return found.join(near, "h", "left_anti").select(F.lit(UNKNOWN).alias("family"), F.lit(SAMPLE).alias("n"), "w", (F.pmod("h", F.lit(4)) == 0).alias("held"))
+
+
+def template_pairs(spark: SparkSession) -> DataFrame:
+    """(family, n, size, gram, own): the word pairs of each template that grants a licence; own where no other family's
+    templates have the pair."""
+    shapes = templates(spark).where(F.col("family") != UNKNOWN).select("family", "n", pairs_of(F.col("w")).alias("g"))
+    flat = shapes.select("family", "n", F.size("g").alias("size"), F.explode("g").alias("gram"))
+    owners = flat.groupBy("gram").agg((F.count_distinct("family") == 1).alias("own"))
+    return flat.join(F.broadcast(owners), "gram")
+
+
+def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", iterations: int = 40, penalty: float = 0.0003, unknown_documents: int = 400, unknown_rows: int = 2000) -> Model:
+    """The model of the templates and of at most unknown_rows windows of about unknown_documents of docs."""
+    spark = docs.sparkSession
+    rows = template_windows(spark).unionByName(unknown_windows(docs, text, key, unknown_documents, unknown_rows))
+    rows = stash(with_grams(rows.coalesce(1)), "licence-windows")
+    number = F.coalesce(*[F.when(F.col("family") == c, F.lit(float(i))) for i, c in enumerate(CLASSES)])
+
+    def learn(train: DataFrame) -> tuple[CountVectorizerModel, LogisticRegressionModel]:
+        # the vocabulary is that of the templates: their number bounds it
+        vectors = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=1.0, vocabSize=1 << 15).fit(train.where(F.col("n") != SAMPLE))
+        sizes = train.groupBy("family", "n").agg(F.count("*").alias("windows"))
+        kinds = sizes.groupBy("family").agg(F.count("*").alias("kinds"))
+        # each template weighs the same within its family, and each family as much as another; the sample counts for two
+        share = 1000 / F.col("kinds") / F.col("windows") * F.when(F.col("n") == SAMPLE, 2 * F.col("kinds")).otherwise(1)
+        weighted = train.join(F.broadcast(sizes), ["family", "n"]).join(F.broadcast(kinds), "family")  # a row a template
+        ready = stash(vectors.transform(weighted).select("features", number.alias("label"), share.alias("weight")).coalesce(1), "licence-vectors")
+        model = LogisticRegression(maxIter=iterations, regParam=penalty, family="multinomial", weightCol="weight", standardization=False).fit(ready)
+        drop_stash(ready)
+        return vectors, model
+
+    vectors, model = learn(rows.where("not held"))
+    scored = model.transform(vectors.transform(rows.where("held"))).select(vector_to_array("rawPrediction").alias("z"), number.cast("int").alias("y"))
+    heats = stash(scored, "licence-held").withColumn("heat", F.explode(F.array(*[F.lit(x / 10) for x in (5, 6, 7, 8, 9, 10, 12, 15, 20, 30, 40)])))
     loss = -F.log(F.greatest(softmax("z", "heat")[F.col("y")], F.lit(1e-12)))
     heat = heats.select("heat", loss.alias("loss")).groupBy("heat").agg(F.sum("loss").alias("loss")).orderBy("loss", "heat").first()[0]
-    for x in (rows, held):
-        drop_stash(x)
-    return table, classes, intercepts, heat
-
-
-def logits(found: DataFrame, weights: DataFrame, intercepts: list[float]) -> DataFrame:
-    """(uid, z): class scores from rows (uid, gram)."""
-    sums = [F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(intercepts))]
-    rows = found.join(F.broadcast(weights), "gram").groupBy("uid").agg(*sums)  # bounded by the templates
-    return rows.select("uid", F.array(*[F.col(f"z{i}") + b for i, b in enumerate(intercepts)]).alias("z"))
+    vectors, model = learn(rows)
+    drop_stash(rows)
+    return Model(vectors, model, heat)
 
 
 def softmax(z: str, heat: Column | str) -> Column:
@@ -196,35 +299,23 @@ def softmax(z: str, heat: Column | str) -> Column:
     return F.transform(powers, lambda x: x / total)
 
 
-def license_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = 0.5, shared: float = 0.6) -> DataFrame:
-    """(key, line, family, probability, template_share, confirmed) of each candidate paragraph."""
+def license_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = 0.05, shared: float = 0.6, model: Model | None = None) -> DataFrame:
+    """(key, line, family, probability, template_share, confirmed) of each window that the classifier gives a family."""
     spark = docs.sparkSession
-    weights, classes, intercepts, heat = fit(spark)
-    some = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("x")).where(F.col("x").rlike(CUE))
-    lines = some.select("id", F.posexplode(F.split("x", "\n")).alias("line", "p")).where(F.col("p").rlike(CUE))
-    lines = stash(lines.select(F.monotonically_increasing_id().alias("uid"), "id", "line", words_of(F.col("p")).alias("w")), "licence-lines")
-    scored = logits(lines.select("uid", F.explode(grams(F.col("w"))).alias("gram")), weights, intercepts)
-    scored = scored.withColumn("p", softmax("z", F.lit(heat)))
-    best = F.array_position("p", F.array_max("p")) - 1
-    scored = scored.select("uid", F.get(F.array(*map(F.lit, classes)), best.cast("int")).alias("family"), F.array_max("p").alias("probability"))
-    # share of a template's word pairs that the paragraph holds; a one-word template counts by its word
-    pairs = lambda w: F.array_distinct(F.when(F.size(w) > 1, _tuples(w, 2)).otherwise(w))
-    shapes = templates(spark).where(F.col("family") != UNKNOWN).select("family", "n", pairs(F.col("w")).alias("g"))
-    shapes = shapes.select("family", "n", F.size("g").alias("size"), F.explode("g").alias("gram"))
-    own = lines.select("uid", F.explode(pairs(F.col("w"))).alias("gram")).join(scored.select("uid", "family"), "uid")
-    hits = own.join(F.broadcast(shapes), ["family", "gram"]).groupBy("uid", "n", "size").agg(F.count("*").alias("hits"))  # bounded by the templates
+    model = model or fit(docs, text, key)
+    scored = model.classifier.transform(model.vectors.transform(with_grams(document_windows(docs, text, key))))
+    scored = scored.where(F.col("prediction") != CLASSES.index(UNKNOWN))
+    scored = scored.select("id", "line", "w", F.get(F.array(*map(F.lit, CLASSES)), F.col("prediction").cast("int")).alias("family"), vector_to_array("rawPrediction").alias("z"))
+    found = stash(scored.withColumn("uid", F.monotonically_increasing_id()), "licence-found")
+    # share of a template's word pairs that the window holds, one of them at least its family's own
+    own = found.select("uid", "family", F.explode(pairs_of(F.col("w"))).alias("gram"))
+    hits = own.join(F.broadcast(template_pairs(spark)), ["family", "gram"])  # bounded by the templates
+    hits = hits.groupBy("uid", "n", "size").agg(F.count("*").alias("hits"), F.max("own").alias("own")).where("own")
     share = hits.groupBy("uid").agg(F.max(F.col("hits") / F.col("size")).alias("template_share"))
-    out = lines.select("uid", "id", "line").join(scored, "uid", "left").join(share, "uid", "left")
-    family = F.coalesce("family", F.lit(UNKNOWN))
-    known = (family != UNKNOWN) & (F.col("probability") >= least) & (F.col("template_share") >= shared)
-    return out.select(
-        F.col("id").alias(key),
-        "line",
-        family.alias("family"),
-        F.coalesce("probability", F.lit(1.0)).alias("probability"),
-        F.coalesce("template_share", F.lit(0.0)).alias("template_share"),
-        F.coalesce(known, F.lit(False)).alias("confirmed"),
-    )
+    out = found.select("uid", "id", "line", "family", F.array_max(softmax("z", F.lit(model.heat))).alias("probability")).join(share, "uid", "left")
+    out = out.withColumn("template_share", F.coalesce("template_share", F.lit(0.0)))
+    known = (F.col("probability") >= least) & (F.col("template_share") >= shared)
+    return out.select(F.col("id").alias(key), "line", "family", "probability", "template_share", known.alias("confirmed"))
 
 
 def license_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
