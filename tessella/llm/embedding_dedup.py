@@ -15,7 +15,9 @@ Links are pairs of double-precision cosine at or above the threshold; nothing be
 
 Defined cases: a vector that is null, zero, or has null or non-finite components, or whose label or id is null, links
 with nothing and is kept; vectors of different lengths aren't compared; repeated rows are vectors of their own that
-link with each other; an empty table gives an empty result.
+link with each other; components of any size are compared, as lengths are taken out without squaring them first; an
+empty table gives an empty result; other columns of the input aren't read, whatever their names. Equal vectors are found by
+two 64-bit hashes; should two different vectors share the one that names them, the run stops with an error.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; the largest component is taken out first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(-1, keepdims=True)
     return x / np.sqrt((x * x).sum(-1, keepdims=True))
 
 
@@ -292,10 +296,12 @@ def near_vectors(
         F.col(key).cast("bigint").alias("id"),
         F.when(usable, F.xxhash64(label, F.size(vector))).alias("g"),
         F.when(usable, F.xxhash64(label, vector)).alias("v"),
+        F.when(usable, F.xxhash64(F.lit("second"), vector, label)).alias("v2"),
         F.when(usable, F.col(vector)).alias("x"),
     )
-    vertices = own.where("v is not null").groupBy("v", "g").agg(F.first("x").alias("x"), F.count("*").alias("w"), F.min("id").alias("id"))
-    vertices = stash(vertices, "vectors")
+    vertices = own.where("v is not null").groupBy("v", "g").agg(F.first("x").alias("x"), F.count("*").alias("w"), F.min("id").alias("id"), F.min("v2").alias("low"), F.max("v2").alias("high"))
+    alike = F.when(F.col("low") == F.col("high"), F.col("v")).otherwise(F.raise_error(F.lit("two vectors share a hash")).cast("bigint"))
+    vertices = stash(vertices.select(alike.alias("v"), "g", "x", "w", "id"), "vectors")
     dims = [r[0] for r in vertices.select(F.size("x").alias("d")).distinct().collect()]
     edges: DataFrame | None = None
     for attempt in range(tries + 1):
@@ -351,6 +357,7 @@ def near_vectors(
     smallest = labels.join(vertices.select("v", "id"), "v").groupBy("component").agg(F.min("id").alias("low"))
     found = vertices.select("v", "w", "id").join(labels, "v", "left").join(smallest, "component", "left").join(degrees, "v", "left")
     found = stash(found.select("v", F.coalesce("low", "id").alias("low"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n")), "vectors-found")
+    drop_stash(vertices, degrees, labels, dense)
     out = own.select("id", "v").join(found, "v", "left")
     component = F.coalesce("low", "id")
     return out.select(

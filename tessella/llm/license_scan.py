@@ -38,8 +38,8 @@ UNKNOWN = "unknown"
 SAMPLE = -2
 #: Characters of a line that may be a part of a wrapped paragraph; words of a window, and of the step to the next one.
 WRAPPED, WINDOW, STEP = 100, 64, 48
-#: Marks of comments at a line's start and end.
-COMMENT = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+!?|#+|--+|;+|%+|<!--|\.\.|(?i:rem|dnl)\b)*[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
+#: Marks of comments, and blanks, at a line's start. Those at its end are no words and need no care.
+COMMENT = r"(?m)^[ \t\r]*+(?:(?:/\*+|\*+/?|//+!?|#+|--+|;+|%+|<!--|\.\.|(?i:rem|dnl)\b)[ \t\r]*+)*+"
 #: A line's end between two lines that are short and not blank.
 JOINT = rf"\n(?<=(?:^|\n)[^\n]{{1,{WRAPPED}}}\n)(?=[^\n]{{1,{WRAPPED}}}(?:\n|$))"
 #: Short notices and opening words of public licences, by family.
@@ -288,7 +288,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", iterations: in
     heat = heats.select("heat", loss.alias("loss")).groupBy("heat").agg(F.sum("loss").alias("loss")).orderBy("loss", "heat").first()[0]
     vectors, model = learn(rows)
     drop_stash(rows)
-    return Model(vectors, model, heat)
+    return Model(vectors, model.setProbabilityCol(""), heat)
 
 
 def softmax(z: str, heat: Column | str) -> Column:

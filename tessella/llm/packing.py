@@ -4,16 +4,20 @@ Only the histogram of piece lengths reaches the driver: at most ``capacity`` num
 completion runs on it, with equal bins counted once: a bin is built around the largest length left, from its
 undominated fillings, fullest first, and is used as often as the counts allow. Best-fit decreasing gives the first
 incumbent; a branch whose waste can no longer beat the incumbent is cut, and a solution at the lower bound ends the
-search. The plan (patterns with multiplicities) then deals slots to the pieces by their rank within their length.
+search. The search is bounded and says so: bins and bound are logged, and bin_completion() returns both. The plan
+(patterns with multiplicities) then deals slots to the pieces by their rank within their length.
 
 Defined cases: a null text is empty and has its end token only; a document longer than the capacity is cut into full
-pieces and a rest; repeated rows are packed one by one; an empty table gives an empty result.
+pieces and a rest; repeated rows are packed one by one; rows without a key are dealt by their text's checksum; an empty
+table gives an empty result; other columns of the input aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +27,15 @@ from pyspark.sql import functions as F
 from tessella.llm.bpe import load, text_blocks
 from tessella.llm.shared import drop_stash, stash
 
+logger = logging.getLogger(__name__)
+
 Pattern = tuple[int, list[tuple[int, int]]]  # multiplicity, (length, times) of one bin
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs: by total length, and with lengths above half the capacity kept apart."""
+    """Bins that any packing needs: the best of the total length, of the total with lengths above half the capacity kept
+    apart, and of dual feasible functions, which charge a length the share of a bin that its kind can't do without (of
+    lengths above a third at most two share a bin, so each is charged a half, and so on)."""
     lengths = np.arange(len(counts))
     best = -(-int((counts * lengths).sum()) // capacity)
     for k in np.flatnonzero(counts[: capacity // 2 + 1]):
@@ -36,6 +44,11 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
         room = int(middle.sum()) * capacity - int((middle * lengths[capacity // 2 + 1 : capacity - k + 1]).sum())
         small = int((counts[k : capacity // 2 + 1] * lengths[k : capacity // 2 + 1]).sum())
         best = max(best, int(large + middle.sum()) + max(0, -(-(small - room) // capacity)))
+    for k in range(1, 33):
+        # in units of 1 / (k * capacity): x where (k + 1) x is a multiple of the capacity, else floor((k + 1) x) / k
+        whole = lengths * (k + 1) % capacity == 0
+        charged = np.where(whole, lengths * k, lengths * (k + 1) // capacity * capacity)
+        best = max(best, -(-int((counts * charged).sum()) // (k * capacity)))
     return best
 
 
@@ -108,21 +121,46 @@ def fillings(counts: np.ndarray, room: int, allowed: int, width: int, budget: in
     return [[(y, f[1].count(y)) for y in dict.fromkeys(f[1])] for f in found]
 
 
-def bin_completion(histogram: dict[int, int], capacity: int, width: int = 6, budget: int = 400, steps: int = 20_000) -> list[Pattern]:
+#: Width and budget of the rounds of the search: a bin's branches and the partial fillings looked at for them.
+ROUNDS = ((6, 200), (12, 600))
+
+
+@dataclass(frozen=True)
+class Packing:
+    """Patterns, their bins, and the bound: proved optimal where the two are equal."""
+
+    patterns: list[Pattern]
+    bins: int
+    bound: int
+
+
+def bin_completion(histogram: dict[int, int], capacity: int, steps: int = 1_000) -> Packing:
     """Patterns that hold each length as often as the histogram has it, in as few bins as the search finds.
 
-    steps bounds the bins that the search builds; the incumbent, a whole packing at any time, is returned then.
-    """
+    Rounds of the search widen what it looks at, and each goes on from the best packing so far; they end when it meets
+    the lower bound. steps bounds the bins that a round builds; the incumbent, a whole packing at any time, is returned
+    after the last one, with the bound that it may still be above."""
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] += n
     if not counts.any():
-        return []
+        return Packing([], 0, 0)
     bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
+    for width, budget in ROUNDS:
+        if sum(p[0] for p in best) == bound:
+            break
+        best = search(counts, capacity, best, bound, width, budget, steps)
+    found = Packing(best, sum(p[0] for p in best), bound)
+    logger.info("%d bins of %d tokens, at least %d are needed", found.bins, capacity, found.bound)
+    return found
+
+
+def search(counts: np.ndarray, capacity: int, best: list[Pattern], bound: int, width: int, budget: int, steps: int) -> list[Pattern]:
+    """A round of the depth-first search; the best packing that it or its start has."""
     size = sum(p[0] for p in best)
     total = int((counts * np.arange(capacity + 1)).sum())
-    # depth-first: each entry of the path is (fillings not tried yet, applied pattern)
+    # each entry of the path is (fillings not tried yet, applied pattern)
     path: list[tuple[list[list[tuple[int, int]]], Pattern]] = []
     left, waste, bins = counts.copy(), 0, 0
 
@@ -134,7 +172,7 @@ def bin_completion(histogram: dict[int, int], capacity: int, width: int = 6, bud
         left[longest] += 1
         return [[(longest, 1), *f] if not f or f[0][0] != longest else [(longest, f[0][1] + 1), *f[1:]] for f in options][::-1]
 
-    todo = open_node() if size > bound else []
+    todo = open_node()
     while steps and size > bound:
         steps -= 1
         if todo:
@@ -235,10 +273,10 @@ def pack(
     """
     pieces = stash(tokenized_pieces(docs, path, capacity, end_id, text, key, with_ids), "pieces")
     chunks = max(1, -(-pieces.count() // rows_per_chunk))
-    pieces = pieces.withColumn("_chunk", F.pmod(F.xxhash64(key, "piece"), F.lit(chunks)).cast("int"))
+    pieces = pieces.withColumn("_chunk", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(chunks)).cast("int"))
     counts = stash(pieces.groupBy("length", "_chunk").agg(F.count("*").alias("_n")), "piece-counts")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}  # at most capacity rows
-    table = slots(bin_completion(histogram, capacity), capacity)
+    table = slots(bin_completion(histogram, capacity).patterns, capacity)
     earlier = F.sum("_n").over(Window.partitionBy("length").orderBy("_chunk")) - F.col("_n")
     counts = counts.select("length", "_chunk", earlier.alias("_earlier"))
     order = Window.partitionBy("length", "_chunk").orderBy(key, "piece", "ids_crc32")

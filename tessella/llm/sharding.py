@@ -8,11 +8,15 @@ rank there.
 
 Defined cases: a null text has no bytes (its size is the fixed 16) and the hash of an empty one; a null id sorts first;
 rows with equal keys can't be parted by a splitter; an empty table gives an empty result; a hot text is no hot key, as
-ids part its copies.
+ids part its copies; a very long text is a row of its size like another; other columns are carried where asked for, and one
+named like an output isn't read.
+
+The driver holds the candidates of a round, ``probes`` for each splitter: 2.5 million keys of 16 bytes for 40,000 splitters.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,16 +85,18 @@ def splitters(rows: DataFrame, targets: list[float], slack: float, probes: int =
             tried |= dict.fromkeys(range(a + step, min(b, a + step * (probes + 1)), step))
         order = sorted(tried)
         below = counts_below(rows, [_pack(n, low, span) for n in order])
+        below = below.tolist()
         for i in open_:
-            for n, have in zip(order, below.tolist()):
-                if state[i][0] < n < state[i][1]:
-                    best[i] = min(best[i], (abs(have - targets[i]), n))
-                    if have <= targets[i]:
+            # the counts ascend with the candidates: the two around the target are found by bisection
+            k = bisect_right(below, targets[i])
+            for n, have in zip(order[max(0, k - 1) : k + 1], below[max(0, k - 1) : k + 1]):
+                best[i] = min(best[i], (abs(have - targets[i]), n))
+                if have <= targets[i]:
+                    if n > state[i][0]:
                         state[i][0], state[i][2] = n, have
-                    else:
-                        state[i][1], state[i][3] = n, have
-        for i in open_:  # the ends are candidates too
-            for n, have in (state[i][0::2], state[i][1::2]):
+                elif n < state[i][1]:
+                    state[i][1], state[i][3] = n, have
+            for n, have in (state[i][0::2], state[i][1::2]):  # the ends are candidates too
                 best[i] = min(best[i], (abs(have - targets[i]), n))
     return [_pack(min(n, 2**64 * span - 1), low, span) for _, n in best]
 
