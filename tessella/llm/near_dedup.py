@@ -6,7 +6,7 @@ is set by each region: a region of depth d is a run of rows with the same first
 shallowest one that holds at most ``crowd`` rows.
 
 1. Cells: to walk a tree in parallel, its rows are dealt by their first value; where more than ``ROOM`` rows share it,
-   by their first two values, and so on. Cells are whole regions, so no run is cut, and none grows with the input.
+   by their whole order. Cells are whole regions, so no run is cut, and none grows with the input.
 2. Walk: each cell is sorted by the tree's order, common prefixes of neighbours are counted, and each row's region
    follows from the runs. The rows of a region are candidates of each other.
 3. A region that is crowded at full depth gives candidates with its smallest id, and is then finished in blocks: its
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import components, drop_stash, stash
+from tessella.llm.shared import broadcast_if_small, components, drop_stash, stash
 from tessella.llm.wordhash import mix, shingle_hashes, texts, word_hashes
 
 HASHES = 128
@@ -111,22 +111,25 @@ def cells(sets: DataFrame, trees: int, depth: int) -> tuple[DataFrame, DataFrame
     """Rows (cell, tail, id, n) of each tree, rows (cell, id, hub) of regions that are crowded at full depth, and the
     stashed tables that both read.
 
-    Only regions of more than ROOM rows go a level deeper. There are at most trees * rows / ROOM of them, so their table
-    joins without moving the rows."""
+    There are at most trees * rows / ROOM regions of more than ROOM rows, so their table joins without moving the rows."""
     orders = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("t"), F.substring("sig", t * (4 * depth) + 1, F.lit(4 * depth)).alias("tail")))
-    active = sets.select("id", "n", F.explode(orders).alias("x")).select("id", "n", "x.t", "x.tail")
-    found: list[DataFrame] = []
-    stashed: list[DataFrame] = []
-    for d in range(1, depth + 1):
-        keyed = active.withColumn("cell", F.xxhash64("t", F.substring("tail", 1, 4 * d)))
-        large = keyed.groupBy("cell").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where(F.col("m") > ROOM).select("cell", "hub")
-        large = stash(large, "large")
-        stashed.append(large)
-        if large.isEmpty():
-            return reduce(DataFrame.unionByName, [*found, keyed.select("cell", "tail", "id", "n")]), None, stashed
-        found.append(keyed.join(large, "cell", "left_anti").select("cell", "tail", "id", "n"))
-        active = keyed.join(large.select("cell"), "cell", "left_semi").drop("cell")
-    return reduce(DataFrame.unionByName, found), keyed.join(large, "cell").select("cell", "id", "hub"), stashed
+    rows = sets.select("id", "n", F.explode(orders).alias("x")).select("id", "n", "x.t", "x.tail")
+
+    def large(keyed: DataFrame) -> DataFrame:
+        sizes = keyed.groupBy("cell").agg(F.count("*").alias("m"), F.min("id").alias("hub"))
+        return stash(sizes.where(F.col("m") > ROOM).select("cell", "hub"), "large")
+
+    first = rows.withColumn("cell", F.xxhash64("t", F.substring("tail", 1, 4)))
+    shallow = large(first)
+    if depth == 1 or shallow.isEmpty():
+        crowded = None if shallow.isEmpty() else first.join(shallow, "cell").select("cell", "id", "hub")
+        return first.join(shallow.select("cell"), "cell", "left_anti").select("cell", "tail", "id", "n"), crowded, [shallow]
+    joined = first.join(shallow.withColumnRenamed("hub", "far"), "cell", "left")
+    deep = large(joined.where("far is not null").withColumn("cell", F.xxhash64("t", "tail")))
+    # rows of a crowded first region are dealt by their whole order
+    dealt = joined.withColumn("cell", F.when(F.col("far").isNull(), F.col("cell")).otherwise(F.xxhash64("t", "tail"))).join(deep, "cell", "left")
+    crowded = None if deep.isEmpty() else dealt.where("hub is not null").select("cell", "id", "hub")
+    return dealt.where("hub is null").select("cell", "tail", "id", "n"), crowded, [shallow, deep]
 
 
 def walk(rows: DataFrame, depth: int, crowd: int, percent: int) -> DataFrame:
@@ -274,7 +277,7 @@ def crowded_links(rest: DataFrame, labels: DataFrame, rows: DataFrame, k: int, p
     sizes = own.groupBy("key", "c").agg(F.count("*").alias("m"))
     sizes = sizes.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.sum("m").alias("m"), F.max("m").alias("most"))
     sizes = sizes.where("m > most").withColumns({"asking": F.ceil((F.col("m") - F.col("most")) / asks), "blocks": F.ceil(F.col("m") / block)})
-    own = own.join(sizes.select("key", "top", "asking", "blocks"), "key").join(rows, "id")
+    own = own.join(broadcast_if_small(sizes.select("key", "top", "asking", "blocks")), "key").join(rows, "id")
     spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
     members = own.withColumn("j", spread("blocks", 1)).withColumn("i", every("asking")).withColumn("ask", F.lit(False))
