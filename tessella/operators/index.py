@@ -1,76 +1,107 @@
-"""Keyword index: postings, lengths and BM25 search over several documents.
+"""Keyword index: stored postings, lengths and frequencies, and BM25 search over several documents.
 
-Collection-wide document frequencies and N make scores of different documents comparable, while each document's own
-average length normalises its chunks.
+An index is built once (build) and searched often (open_index): texts are read for building only. Collection-wide document
+frequencies and N make scores of different documents comparable, while each document's own average length normalises
+its chunks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.porter import stemmed
-from tessella.functions.text import tokens
+from tessella.functions.text import STOPWORDS, every_word, indexed, tokens
+from tessella.sources.stash import drop_stash, stash
 
 K1, B = 1.2, 0.75
 KEYS = ("doc_id", "idx")
+#: Folders of the postings, by a hash of the term: a search reads those of its terms.
+BUCKETS = 16
 
 
-def chunk_terms(chunks: DataFrame, text: Column | None = None, stem: bool = False) -> DataFrame:
-    """(doc_id, idx, terms array): section title and text of each chunk, tokenised once."""
-    text = F.concat_ws("\n", "section", "text") if text is None else text
-    rows = chunks.select(*KEYS, tokens(text).alias("terms"))
-    return stem_terms(rows, list(KEYS)) if stem else rows
+@dataclass(frozen=True)
+class Index:
+    """postings (doc_id, idx, term, tf, dl, bucket), lengths (doc_id, idx, dl), documents (doc_id, n, total), terms (term, df)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    documents: DataFrame
+    terms: DataFrame
 
 
-def stem_terms(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with their terms stemmed: one call for each distinct word, joined back."""
-    flat = rows.select(*keys, F.posexplode("terms").alias("pos", "term"))
-    vocabulary = flat.select("term").distinct().withColumn("stem", stemmed(F.col("term")))
-    stems = flat.join(vocabulary, "term").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "stem"))).alias("s"))
-    found = rows.select(*keys).join(stems, keys, "left")
-    return found.select(*keys, F.coalesce(F.transform("s", lambda x: x["stem"]), F.array().cast("array<string>")).alias("terms"))
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def postings(terms: DataFrame) -> DataFrame:
-    """(doc_id, idx, term, tf), tf at most 65535."""
-    flat = terms.select(*KEYS, F.explode("terms").alias("term"))
-    return flat.groupBy(*KEYS, "term").agg(F.least(F.count("*"), F.lit(65535)).alias("tf"))
+def term_counts(chunks: DataFrame, text: Column) -> DataFrame:
+    """(doc_id, idx, term, tf): each chunk's terms and how often it has them.
 
+    Pieces between white space are counted first, without stop words, and only distinct ones are folded and split into
+    words. Texts are dealt by their chunk once; both counts follow without another exchange."""
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = chunks.select(*KEYS, F.coalesce(text, F.lit("")).alias("x")).repartition(parts, *KEYS)
+    pieces = rows.select(*KEYS, F.explode(F.split("x", r"[ \t\n\x0b\f\r]+")).alias("raw"))
+    pieces = pieces.select(*KEYS, F.btrim("raw", F.lit(".,;:!?()[]\"*#")).alias("raw"))
+    pieces = pieces.where((F.col("raw") != "") & ~F.lower("raw").isin(STOPWORDS))
+    counted = pieces.groupBy(*KEYS, "raw").agg(F.count("*").alias("c"))
+    words = F.when(F.col("raw").rlike("^[A-Za-z0-9]+$"), F.array(F.lower("raw"))).otherwise(every_word(F.col("raw")))
+    terms = counted.select(*KEYS, "c", F.explode(words).alias("term")).where(indexed(F.col("term")))
+    return terms.groupBy(*KEYS, "term").agg(F.sum("c").alias("tf"))
 
-def chunk_lengths(terms: DataFrame) -> DataFrame:
-    return terms.select(*KEYS, F.size("terms").cast("bigint").alias("dl"))
+
+def build(chunks: DataFrame, path: str, text: Column | None = None) -> None:
+    """Write the index of chunks (doc_id, idx, section, text) to path: section title and text of each chunk."""
+    text = F.concat_ws("\n", "section", "text") if text is None else text
+    spark = chunks.sparkSession
+    counts = stash(term_counts(chunks, text), "term-counts")
+    found = counts.groupBy(*KEYS).agg(F.sum("tf").alias("dl"))
+    lengths = chunks.select(*KEYS).join(found, list(KEYS), "left").select(*KEYS, F.coalesce("dl", F.lit(0)).cast("bigint").alias("dl"))
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    lengths = spark.read.schema(lengths.schema).parquet(f"{path}/lengths")
+    counts.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    rows = counts.join(lengths, list(KEYS)).withColumn("bucket", bucket_of(F.col("term")))
+    # a bucket is dealt to several tasks, so a frequent term doesn't make one of them large
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", F.pmod(F.xxhash64(*KEYS), F.lit(4)))
+    rows.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    documents = lengths.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
+    documents.write.mode("overwrite").parquet(f"{path}/documents")
+    drop_stash(counts)
 
 
-def document_stats(lengths: DataFrame) -> DataFrame:
-    """(doc_id, n, avgdl): an average of 0 counts as 1, as a guard for the division."""
-    return lengths.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def open_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "documents", "terms")))
 
 
-def document_frequencies(found: DataFrame) -> DataFrame:
-    return found.groupBy("doc_id", "term").agg(F.count("*").alias("df"))
+def document_stats(index: Index) -> DataFrame:
+    """(doc_id, n, avgdl): an average of 0 counts as 1 in scores, as a guard for the division."""
+    return index.documents.select("doc_id", "n", (F.col("total") / F.col("n")).alias("avgdl"))
 
 
-def corpus_frequencies(frequencies: DataFrame) -> DataFrame:
-    return frequencies.groupBy("term").agg(F.sum("df").alias("df"))
+def document_frequencies(index: Index) -> DataFrame:
+    """(doc_id, term, df) of each document."""
+    return index.postings.groupBy("doc_id", "term").agg(F.count("*").alias("df"))
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def collection_idf(terms: DataFrame) -> DataFrame:
+def collection_idf(index: Index) -> DataFrame:
     """(term, idf) of a collection."""
-    n = terms.agg(F.count("*").alias("n"))
-    frequencies = corpus_frequencies(document_frequencies(postings(terms)))
-    return frequencies.crossJoin(n).select("term", idf(F.col("n"), F.col("df")).alias("idf"))  # n is one row
+    n = index.documents.agg(F.sum("n").alias("n"))
+    return index.terms.crossJoin(n).select("term", idf(F.col("n"), F.col("df")).alias("idf"))  # n is one row
 
 
 def query_terms(queries: DataFrame, text: str = "question", stem: bool = False) -> DataFrame:
-    """(query_id, term), distinct."""
-    rows = queries.select("query_id", tokens(F.col(text)).alias("terms"))
-    rows = stem_terms(rows, ["query_id"]) if stem else rows
-    return rows.select("query_id", F.explode("terms").alias("term")).distinct()
+    """(query_id, term), distinct; with stem, the stems, one call of the stemmer for each distinct word."""
+    rows = queries.select("query_id", F.explode(tokens(F.col(text))).alias("term")).distinct()
+    if not stem:
+        return rows
+    vocabulary = rows.select("term").distinct().withColumn("stem", stemmed(F.col("term")))
+    return rows.join(vocabulary, "term").select("query_id", F.col("stem").alias("term")).distinct()
 
 
 def top(rows: DataFrame, k: int, by: str = "score", group: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -79,30 +110,36 @@ def top(rows: DataFrame, k: int, by: str = "score", group: tuple[str, ...] = ("q
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_scores(terms: DataFrame, asked: DataFrame, per_document: bool = True) -> DataFrame:
-    """(query_id, doc_id, idx, score) of chunks that hold a query term.
-
-    The corpus is tokenised once: each chunk's term list is exploded with its length, and only postings of asked terms
-    go on. Frequencies, N and average lengths come from the same rows.
-    """
-    sized = terms.withColumn("dl", F.size("terms").cast("bigint"))
-    lengths = sized.select(*KEYS, "dl")
-    group = ["doc_id"] if per_document else []
-    stats = lengths.groupBy(*group).agg(F.avg("dl").alias("avgdl"))
-    n = lengths.agg(F.count("*").alias("n"))
-    flat = sized.select(*KEYS, "dl", F.explode("terms").alias("term"))
-    wanted = flat.join(asked.select("term").distinct(), "term", "left_semi")
-    found = wanted.groupBy(*KEYS, "dl", "term").agg(F.least(F.count("*"), F.lit(65535)).alias("tf"))
-    frequencies = found.groupBy("term").agg(F.count("*").alias("df"))
-    hits = found.join(asked, "term").join(frequencies, "term").crossJoin(n)  # n is one row
-    hits = hits.join(stats, "doc_id") if per_document else hits.crossJoin(stats)  # stats is one row
-    f, dl = F.col("tf"), F.col("dl")
+def _postings_of(index: Index, words: DataFrame) -> DataFrame:
+    """Postings of the terms of words (term, ..): only their buckets' folders are read, as the length test lets Spark
+    prune by the small side."""
+    keyed = words.where(F.length("term") >= 2).withColumn("bucket", bucket_of(F.col("term")))
+    return index.postings.join(keyed, ["bucket", "term"]).drop("bucket")
+
+
+def bm25_scores(index: Index, asked: DataFrame, per_document: bool = True, stem: bool = False) -> DataFrame:
+    """(query_id, doc_id, idx, score) of chunks that hold a query term. With stem, asked has stems, and each stands for
+    all words of the index that have it."""
+    sizes = index.documents.agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("avgdl"))  # one row
+    if stem:
+        vocabulary = index.terms.select("term", stemmed(F.col("term")).alias("stem"))
+        words = vocabulary.join(asked.select(F.col("term").alias("stem")).distinct(), "stem")
+        found = _postings_of(index, words).groupBy("stem", *KEYS, "dl").agg(F.sum("tf").alias("tf")).withColumnRenamed("stem", "term")
+        frequencies = found.groupBy("term").agg(F.count("*").alias("df"))
+        hits = found.join(asked.join(frequencies, "term"), "term")
+    else:
+        hits = _postings_of(index, asked.join(index.terms, "term"))
+    if per_document:
+        hits = hits.crossJoin(sizes.select("n")).join(document_stats(index).drop("n"), "doc_id")
+    else:
+        hits = hits.crossJoin(sizes)
+    f, dl = F.least("tf", F.lit(65535)), F.col("dl")
     average = F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))
     weight = idf(F.col("n"), F.col("df")) * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / average))
     return hits.groupBy("query_id", *KEYS).agg(F.sum(weight).alias("score"))
 
 
-def bm25_search(terms: DataFrame, asked: DataFrame, k: int = 10, per_document: bool = True) -> DataFrame:
-    scores = bm25_scores(terms, asked, per_document)
+def bm25_search(index: Index, asked: DataFrame, k: int = 10, per_document: bool = True, stem: bool = False) -> DataFrame:
+    scores = bm25_scores(index, asked, per_document, stem)
     # scores that differ in the last bits only are ties
     return top(scores.withColumn("score", F.round("score", 6)), k)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import clean_page, estimate_tokens, norm_line, toc_like, trimmed
+from tessella.functions.text import estimate_tokens, norm_line, tidied, toc_like, trimmed, without_marks
 
 PAGE_CHARS = 3000
 
@@ -35,20 +35,34 @@ def paginate(docs: DataFrame, size: int = PAGE_CHARS) -> DataFrame:
 
 def boilerplate(pages: DataFrame, share: float = 0.3, least: int = 5) -> DataFrame:
     """(doc_id, line, pages): normalised lines of 4 to 160 characters on at least max(3, share) of a document's pages."""
-    lines = pages.select("doc_id", "page", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), norm_line))).alias("line"))
-    lines = lines.where(F.length("line").between(4, 160))
-    counted = lines.groupBy("doc_id", "line").agg(F.count("*").alias("pages"))
+    return _repeated(_lines(pages), pages, share, least)
+
+
+def _lines(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, pos, raw, line): each line as it is and normalised; the licence marks are taken out of the text
+    that stays, but the lines are counted as they were."""
+    return pages.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("line", norm_line(F.col("raw")))
+
+
+def _repeated(lines: DataFrame, pages: DataFrame, share: float, least: int) -> DataFrame:
+    some = lines.where(F.length("line").between(4, 160)).select("doc_id", "page", "line").distinct()
+    counted = some.groupBy("doc_id", "line").agg(F.count("*").alias("pages"))
     sizes = pages.groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = counted.join(sizes, "doc_id").where((F.col("n") >= least) & (F.col("pages") >= F.greatest(F.lit(3), F.ceil(F.col("n") * share))))
     return kept.select("doc_id", "line", "pages")
 
 
 def clean_pages(pages: DataFrame, share: float = 0.3, least: int = 5, min_chars: int = 50) -> DataFrame:
-    """(doc_id, page, text, chars_before, kept) of each page."""
-    lines = boilerplate(pages, share, least).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
-    rows = pages.join(lines, "doc_id", "left")
-    none = F.array().cast("array<string>")
-    cleaned = rows.select("doc_id", "page", clean_page(F.col("text"), F.coalesce("lines", none)).alias("text"), F.length("text").alias("chars_before"))
+    """(doc_id, page, text, chars_before, kept) of each page. Boilerplate lines are joined away, line by line; pages
+    without any keep their text as it is."""
+    unmarked = pages.withColumn("text", without_marks(F.col("text")))
+    lines = _lines(unmarked)
+    gone = _repeated(_lines(pages), pages, share, least).select("doc_id", "line").withColumn("gone", F.lit(True))
+    marked = lines.join(gone, ["doc_id", "line"], "left")
+    rest = marked.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.when(F.col("gone").isNull(), F.struct("pos", "raw")))).alias("x"))
+    rows = pages.select("doc_id", "page", F.length("text").alias("chars_before")).join(rest, ["doc_id", "page"])
+    joined = F.array_join(F.transform("x", lambda x: x["raw"]), "\n")
+    cleaned = rows.select("doc_id", "page", tidied(joined).alias("text"), "chars_before")
     return cleaned.withColumn("kept", F.length("text") > min_chars)
 
 

@@ -15,11 +15,12 @@ from tessella.plans.queries import (
     TERMS,
     _bm25_sql,
     _cosine_sql,
-    corpus_terms,
+    documents,
     pages_of,
     paged_sources,
     query,
     questions,
+    stored_index,
     table,
     vector_queries,
     vector_table,
@@ -98,10 +99,10 @@ def parse_citations(spark, sf_dir):
 
 @query(f"""
 WITH s AS ({SOURCES2}), b AS (SELECT query_id, doc_id, page FROM s WHERE rank = 1),
-c AS (SELECT query_id, lower(doc_id) AS k, page FROM b UNION ALL SELECT query_id, 'other', 900 FROM b WHERE query_id % 3 = 0),
+c AS (SELECT query_id, regexp_replace(lower(doc_id), '[^a-z0-9]+', '', 'g') AS k, page FROM b UNION ALL SELECT query_id, 'other', 900 FROM b WHERE query_id % 3 = 0),
 d AS (SELECT query_id, COUNT(DISTINCT doc_id) <= 1 AS single FROM s GROUP BY query_id),
 m AS (SELECT c.*, EXISTS (SELECT 1 FROM s WHERE s.query_id = c.query_id AND s.page = c.page AND
-  (d.single OR starts_with(lower(s.doc_id), c.k) OR starts_with(c.k, lower(s.doc_id)))) AS ok FROM c JOIN d USING (query_id))
+  (d.single OR starts_with(regexp_replace(lower(s.doc_id), '[^a-z0-9]+', '', 'g'), c.k) OR starts_with(c.k, regexp_replace(lower(s.doc_id), '[^a-z0-9]+', '', 'g')))) AS ok FROM c JOIN d USING (query_id))
 SELECT query_id, COUNT(*) AS cited, COUNT(*) FILTER (WHERE ok) AS valid, COUNT(*) FILTER (WHERE NOT ok) AS invalid,
   ROUND(COUNT(*) FILTER (WHERE ok) / COUNT(*)::DOUBLE, 6) AS precision FROM m GROUP BY query_id""")
 def citation_check(spark, sf_dir):
@@ -148,8 +149,8 @@ def question_coverage(spark, sf_dir):
 
 
 @query(f"""
-WITH s AS ({SOURCES2}), b AS (SELECT query_id, lower(doc_id) AS k, page FROM s WHERE rank = 1), d AS (SELECT query_id, COUNT(DISTINCT doc_id) <= 1 AS single FROM s GROUP BY query_id)
-SELECT s.query_id, ROUND(AVG(CASE WHEN s.page = b.page AND (d.single OR starts_with(lower(s.doc_id), b.k) OR starts_with(b.k, lower(s.doc_id))) THEN 1 ELSE 0 END), 6) AS utilization
+WITH s AS ({SOURCES2}), b AS (SELECT query_id, regexp_replace(lower(doc_id), '[^a-z0-9]+', '', 'g') AS k, page FROM s WHERE rank = 1), d AS (SELECT query_id, COUNT(DISTINCT doc_id) <= 1 AS single FROM s GROUP BY query_id)
+SELECT s.query_id, ROUND(AVG(CASE WHEN s.page = b.page AND (d.single OR starts_with(regexp_replace(lower(s.doc_id), '[^a-z0-9]+', '', 'g'), b.k) OR starts_with(b.k, regexp_replace(lower(s.doc_id), '[^a-z0-9]+', '', 'g'))) THEN 1 ELSE 0 END), 6) AS utilization
 FROM s JOIN b USING (query_id) JOIN d USING (query_id) GROUP BY s.query_id""")
 def context_utilization(spark, sf_dir):
     return evaluate.context_utilization(made_answers(spark, sf_dir), paged_sources(spark, sf_dir))
@@ -195,7 +196,7 @@ def confidence(spark, sf_dir):
 
 @query()
 def extractive_answer(spark, sf_dir):
-    idf = index.collection_idf(corpus_terms(spark, sf_dir))
+    idf = index.collection_idf(stored_index(spark, sf_dir))
     return answer.extractive_answer(paged_sources(spark, sf_dir), questions(spark, sf_dir), idf)
 
 
@@ -286,8 +287,9 @@ c AS (SELECT query_id, SUM(LEAST(n, m)) AS c FROM g JOIN p USING (query_id, term
 SELECT query_id, ROUND(2.0::DOUBLE * COALESCE(c, 0) / (g + p), 6) AS f1 FROM gs JOIN ps USING (query_id) LEFT JOIN c USING (query_id)""")
 def token_f1(spark, sf_dir):
     """The best chunk's words against the question's."""
-    best = index.bm25_search(corpus_terms(spark, sf_dir), index.query_terms(questions(spark, sf_dir)), 1, False)
-    predicted = best.select("query_id", "doc_id", "idx").join(corpus_terms(spark, sf_dir), ["doc_id", "idx"]).select("query_id", "terms")
+    best = index.bm25_search(stored_index(spark, sf_dir), index.query_terms(questions(spark, sf_dir)), 1, False)
+    texts = documents(spark, sf_dir).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("idx"), "text")
+    predicted = best.select("query_id", "doc_id", "idx").join(texts, ["doc_id", "idx"]).select("query_id", T.tokens(F.col("text")).alias("terms"))
     gold = questions(spark, sf_dir).select("query_id", F.lit(0).alias("gold_no"), T.tokens(F.col("question")).alias("terms"))
     return measure.token_f1(predicted, gold)
 
@@ -354,9 +356,9 @@ def usage_by_month_purpose(spark, sf_dir):
     return measure.usage(calls)
 
 
-@query("""SELECT doc_id, n, (FLOOR((ROW_NUMBER() OVER (PARTITION BY source ORDER BY n, doc_id) - 1) / 16))::BIGINT AS batch FROM (SELECT *, length(text) AS n FROM documents)""")
+@query("""SELECT doc_id, n, (FLOOR((ROW_NUMBER() OVER (PARTITION BY source ORDER BY n, doc_id) - 1) / 16))::BIGINT AS batch FROM (SELECT *, length(text) AS n FROM dd)""")
 def batch_plan(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("pos"), "text")
+    docs = documents(spark, sf_dir).select("source", F.col("doc_id").alias("pos"), "text")
     return measure.batch_plan(docs, F.length("text"), 16, ["source"]).select(F.col("pos").alias("doc_id"), F.col("length").alias("n"), "batch")
 
 
@@ -365,13 +367,13 @@ WITH r AS (SELECT source, dl, ROW_NUMBER() OVER (PARTITION BY source ORDER BY dl
 SELECT source AS doc_id, COUNT(*) AS n, ROUND(AVG(dl), 6) AS mean, MIN(dl) AS low, MAX(dl) AS high, MAX(CASE WHEN r = LEAST(c, c * 50 // 100 + 1) THEN dl END) AS median,
   MAX(CASE WHEN r = LEAST(c, c * 90 // 100 + 1) THEN dl END) AS p90 FROM r GROUP BY source""")
 def quantile_summary(spark, sf_dir):
-    return measure.quantile_summary(index.chunk_lengths(corpus_terms(spark, sf_dir)), ["doc_id"], "dl")
+    return measure.quantile_summary(stored_index(spark, sf_dir).lengths, ["doc_id"], "dl")
 
 
 # ---------------------------------------------------------------- storage
 
 
-@query("SELECT source AS doc_id, COUNT(*) AS chunks FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 97 = 0) GROUP BY source")
+@query("SELECT source AS doc_id, COUNT(*) AS chunks FROM dd WHERE source NOT IN (SELECT source FROM dd WHERE doc_id % 97 = 0) GROUP BY source")
 def cascade_delete(spark, sf_dir):
     """Rows left after deleting the sources that hold a doc_id divisible by 97."""
     pages = pages_of(spark, sf_dir).select("doc_id", "page")
@@ -386,11 +388,11 @@ def collection_members(spark, sf_dir):
     return members.join(rows.groupBy("collection_id", "doc_id").agg(F.count("*").alias("n")), ["collection_id", "doc_id"]).groupBy("collection_id").agg(F.count("*").alias("members"), F.sum("n").alias("n_rows"))
 
 
-@query("""SELECT e.vec_id, COALESCE(left(d.text, 40), '(This passage is no longer in the library.)') AS text FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id * 3""")
+@query("""SELECT e.vec_id, COALESCE(d.text, '(This passage is no longer in the library.)') AS text FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id * 3""")
 def hydrate(spark, sf_dir):
     """Stored sources get their text back; some have lost their chunk."""
     sources = table(spark, sf_dir, "embeddings").select(F.lit("d").alias("doc_id"), (F.col("vec_id") * 3).alias("idx"), "vec_id")
-    chunks = table(spark, sf_dir, "documents").select(F.lit("d").alias("doc_id"), F.col("doc_id").alias("idx"), F.substring("text", 1, 40).alias("text"))
+    chunks = table(spark, sf_dir, "documents").select(F.lit("d").alias("doc_id"), F.col("doc_id").alias("idx"), "text")
     return store.hydrate(sources, chunks).select("vec_id", "text")
 
 

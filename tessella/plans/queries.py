@@ -6,6 +6,8 @@ questions; `embeddings` the vectors; `conversations` the history; `events` the c
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,16 +19,22 @@ from tessella.functions import vectors as V
 from tessella.operators import answer, evaluate, index, ingest, measure, retrieve
 from tessella.plans import sql
 from tessella.plans.sql import quoted
+from tessella.sources.stash import file_system, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: In the twins: documents whose source is the document they are a part of.
+DD = "dd AS (SELECT doc_id, source || '/' || (doc_id // 1000) AS source, lang, text FROM documents)"
+
+
 def query(oracle: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if oracle:
-            ORACLES[f.__name__] = oracle
+            plain = oracle.strip()
+            ORACLES[f.__name__] = plain if not re.search(r"\bdd\b", plain) else f"WITH {DD}, {plain[5:]}" if plain.startswith("WITH ") else f"WITH {DD} {plain}"
         return f
 
     return add
@@ -36,9 +44,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, their source being the document that they are a part of: a thousand ids of a source."""
+    part = F.floor(F.col("doc_id") / 1000).cast("string")
+    return table(spark, sf_dir, "documents").withColumn("source", F.concat("source", F.lit("/"), part))
+
+
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as chunks: doc_id is the source, idx the position within it."""
-    docs = table(spark, sf_dir, "documents")
+    """documents as chunks: doc_id is the document, idx the position within it."""
+    docs = documents(spark, sf_dir)
     return docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("idx"), F.col("text"))
 
 
@@ -46,20 +60,26 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-def corpus_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.chunk_terms(chunk_table(spark, sf_dir), F.col("text"))
+def stored_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of the documents table: built on its first use in an application, then read. Its name follows the
+    table's place and time, so a table that changes gets a new one."""
+    fs, place = file_system(spark, f"{sf_dir}/documents.parquet")
+    state = f"{place}-{fs.getFileStatus(place).getModificationTime()}"
+    path = f"{shared_dir(spark)}/index-{spark.sparkContext.applicationId}-{hashlib.sha1(state.encode()).hexdigest()[:16]}"
+    done_fs, done = file_system(spark, f"{path}/documents/_SUCCESS")  # written last
+    if not done_fs.exists(done):
+        index.build(chunk_table(spark, sf_dir), path, F.col("text"))
+    return index.open_index(spark, path)
 
 
-TERMS = sql.term_rows("documents", "source, doc_id", "text")
+TERMS = sql.term_rows("dd", "source, doc_id", "text")
 
 # ---------------------------------------------------------------- text and index
 
 
 @query(f"SELECT term, COUNT(*) AS n, COUNT(DISTINCT doc_id) AS docs FROM ({TERMS}) GROUP BY term")
 def tokenize_vocab(spark, sf_dir):
-    flat = corpus_terms(spark, sf_dir).select("idx", F.explode("terms").alias("term"))
-    per_doc = flat.groupBy("term", "idx").agg(F.count("*").alias("c"))
-    return per_doc.groupBy("term").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
+    return stored_index(spark, sf_dir).postings.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
 
 
 @query(f"SELECT doc_id, {sql.estimate_tokens('text')} AS tokens FROM documents")
@@ -69,20 +89,20 @@ def estimate_tokens(spark, sf_dir):
 
 @query(f"SELECT source AS doc_id, term, COUNT(DISTINCT doc_id) AS df FROM ({TERMS}) GROUP BY source, term")
 def term_df(spark, sf_dir):
-    return index.document_frequencies(index.postings(corpus_terms(spark, sf_dir)))
+    return index.document_frequencies(stored_index(spark, sf_dir))
 
 
-LENGTHS = f"SELECT d.source, d.doc_id, COALESCE(c.dl, 0) AS dl FROM documents d LEFT JOIN (SELECT doc_id, COUNT(*) AS dl FROM ({TERMS}) GROUP BY doc_id) c USING (doc_id)"
+LENGTHS = f"SELECT d.source, d.doc_id, COALESCE(c.dl, 0) AS dl FROM dd d LEFT JOIN (SELECT doc_id, COUNT(*) AS dl FROM ({TERMS}) GROUP BY doc_id) c USING (doc_id)"
 
 
 @query(f"SELECT source AS doc_id, doc_id AS idx, dl FROM ({LENGTHS}) AS l")
 def chunk_len(spark, sf_dir):
-    return index.chunk_lengths(corpus_terms(spark, sf_dir))
+    return stored_index(spark, sf_dir).lengths
 
 
 @query(f"SELECT source AS doc_id, COUNT(*) AS n, ROUND(AVG(dl), 6) AS avgdl FROM ({LENGTHS}) AS l GROUP BY source")
 def doc_stats(spark, sf_dir):
-    return index.document_stats(index.chunk_lengths(corpus_terms(spark, sf_dir))).withColumn("avgdl", F.round("avgdl", 6))
+    return index.document_stats(stored_index(spark, sf_dir)).withColumn("avgdl", F.round("avgdl", 6))
 
 
 def _bm25_sql(per_document: bool, k: int = 10) -> str:
@@ -100,7 +120,7 @@ def _bm25_sql(per_document: bool, k: int = 10) -> str:
 
 
 def _bm25(spark, sf_dir, per_document, k=10):
-    return index.bm25_search(corpus_terms(spark, sf_dir), index.query_terms(questions(spark, sf_dir)), k, per_document)
+    return index.bm25_search(stored_index(spark, sf_dir), index.query_terms(questions(spark, sf_dir)), k, per_document)
 
 
 @query(_bm25_sql(False))
@@ -117,8 +137,7 @@ def bm25_multidoc_top10(spark, sf_dir):
 @query()
 def bm25_stemmed_top10(spark, sf_dir):
     """As bm25_multidoc_top10 with stems: the stemmer has no SQL twin."""
-    terms = index.chunk_terms(chunk_table(spark, sf_dir), F.col("text"), stem=True)
-    return index.bm25_search(terms, index.query_terms(questions(spark, sf_dir), stem=True), 10)
+    return index.bm25_search(stored_index(spark, sf_dir), index.query_terms(questions(spark, sf_dir), stem=True), 10, stem=True)
 
 
 @query()
@@ -214,7 +233,7 @@ def int8_top10(spark, sf_dir):
 def _lists(spark, sf_dir, k=20):
     """Keyword and semantic lists over the same ids: a vector belongs to the document of its id."""
     keyword = _bm25(spark, sf_dir, False, k)
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("idx"))
+    docs = documents(spark, sf_dir).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("idx"))
     vectors = docs.join(table(spark, sf_dir, "embeddings"), F.col("idx") == F.col("vec_id"))
     vectors = vectors.select("doc_id", "idx", F.lit("m").alias("model"), F.col("embedding").alias("vector"))
     return keyword, retrieve.cosine_candidates(vectors, vector_queries(spark, sf_dir), k)
@@ -225,7 +244,7 @@ def _rrf_sql(weights: tuple[float, float], k: int = 10) -> str:
     WITH kw AS ({_bm25_sql(False, 20)}),
     se AS (SELECT query_id, doc_id, idx, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, idx) AS rank FROM (
       SELECT b.item_id AS query_id, d.source AS doc_id, d.doc_id AS idx, ROUND(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
-      FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN embeddings v JOIN documents d ON d.doc_id = v.vec_id)),
+      FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN embeddings v JOIN dd d ON d.doc_id = v.vec_id)),
     u AS (SELECT query_id, doc_id, idx, {weights[0]}::DOUBLE / (60 + rank) AS part FROM se WHERE rank <= 20
       UNION ALL SELECT query_id, doc_id, idx, {weights[1]}::DOUBLE / (60 + rank) FROM kw),
     s AS (SELECT query_id, doc_id, idx, ROUND(SUM(part), 9) AS score FROM u GROUP BY ALL),
@@ -250,7 +269,7 @@ def rrf_weighted(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT source, COUNT(*) AS c, COUNT(v.vec_id) AS v FROM documents LEFT JOIN embeddings v ON v.vec_id = doc_id GROUP BY source),
+WITH d AS (SELECT source, COUNT(*) AS c, COUNT(v.vec_id) AS v FROM dd LEFT JOIN embeddings v ON v.vec_id = doc_id GROUP BY source),
 s AS (SELECT COUNT(*) AS documents, COUNT(*) FILTER (WHERE v >= c) AS ready FROM d)
 SELECT mode, documents, ready, CASE WHEN ready = 0 OR mode = 'bm25' THEN 'bm25' WHEN ready < documents THEN
   CASE WHEN mode = 'hybrid' THEN 'hybrid (partial)' ELSE mode || ' + bm25' END ELSE mode END AS effective
@@ -273,14 +292,14 @@ def mmr_top8(spark, sf_dir):
 
 def paged_chunks(spark, sf_dir):
     """Chunks with position, page and section: idx is the row's place in its source, ten to a page, fifty to a section."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
     rows = docs.select(F.col("source").alias("doc_id"), F.col("source").alias("doc_name"), F.col("doc_id").alias("row_id"), place.alias("idx"), "text", T.estimate_tokens(F.col("text")).alias("tokens"))
     return rows.withColumn("page", (F.floor(F.col("idx") / 10) + 1).cast("int")).withColumn("section", F.floor(F.col("idx") / 50).cast("string"))
 
 
 PAGED = f"""SELECT source AS doc_id, doc_id AS row_id, idx::INTEGER AS idx, (idx // 10 + 1)::INTEGER AS page, (idx // 50)::VARCHAR AS section, text, tokens FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, {sql.estimate_tokens('text')} AS tokens FROM documents)"""
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, {sql.estimate_tokens('text')} AS tokens FROM dd)"""
 
 
 def paged_sources(spark, sf_dir, k=4):
@@ -315,13 +334,13 @@ def retrieve_hybrid(spark, sf_dir):
 
 
 def pages_of(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 BOILER = f"""SELECT doc_id, line, COUNT(*) AS pages FROM (
-  SELECT DISTINCT source AS doc_id, doc_id AS page, {sql.norm_line('raw')} AS line FROM (SELECT source, doc_id, unnest(string_split(COALESCE(text, ''), chr(10))) AS raw FROM documents)) AS x
-  JOIN (SELECT source AS doc_id, COUNT(*) AS n FROM documents GROUP BY source) AS s USING (doc_id)
+  SELECT DISTINCT source AS doc_id, doc_id AS page, {sql.norm_line('raw')} AS line FROM (SELECT source, doc_id, unnest(string_split(COALESCE(text, ''), chr(10))) AS raw FROM dd)) AS x
+  JOIN (SELECT source AS doc_id, COUNT(*) AS n FROM dd GROUP BY source) AS s USING (doc_id)
   WHERE length(line) BETWEEN 4 AND 160 AND n >= 5 GROUP BY doc_id, line, n HAVING COUNT(*) >= GREATEST(3, CEIL(n * 0.1))"""
 
 
@@ -333,7 +352,7 @@ def boilerplate_lines(spark, sf_dir):
 CLEANED = f"""SELECT doc_id, page, chars_before, {sql.clean_page('joined')} AS text FROM (
   SELECT p.doc_id, p.page, p.chars_before, string_agg(p.line, chr(10) ORDER BY p.pos) FILTER (WHERE b.line IS NULL) AS joined FROM (
     SELECT source AS doc_id, doc_id AS page, length(COALESCE(text, '')) AS chars_before, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line
-    FROM (SELECT *, string_split({sql.replace_all("COALESCE(text, '')", sql.CLEANING)}, chr(10)) AS ls FROM documents)) AS p
+    FROM (SELECT *, string_split({sql.replace_all("COALESCE(text, '')", sql.CLEANING)}, chr(10)) AS ls FROM dd)) AS p
   LEFT JOIN ({BOILER}) AS b ON b.doc_id = p.doc_id AND b.line = {sql.norm_line('p.line')} GROUP BY p.doc_id, p.page, p.chars_before)"""
 
 
@@ -355,7 +374,7 @@ def headed_pages(spark, sf_dir):
 
 @query(f"""
 WITH l AS (SELECT source AS doc_id, doc_id AS page, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line FROM (
-  SELECT *, string_split(CASE WHEN doc_id % 5 = 0 THEN '## ' || COALESCE(text, '') ELSE COALESCE(text, '') END, chr(10)) AS ls FROM documents)),
+  SELECT *, string_split(CASE WHEN doc_id % 5 = 0 THEN '## ' || COALESCE(text, '') ELSE COALESCE(text, '') END, chr(10)) AS ls FROM dd)),
 h AS (SELECT *, regexp_extract({sql.trimmed('line')}, '^##\\s+(.+)$', 1) AS t FROM l),
 s AS (SELECT doc_id, page, COALESCE(LAST_VALUE(CASE WHEN t <> '' THEN left({sql.trimmed('t')}, 120) END IGNORE NULLS) OVER
   (PARTITION BY doc_id ORDER BY page, line_no ROWS UNBOUNDED PRECEDING), '') AS section FROM h)
@@ -366,7 +385,7 @@ def section_carry(spark, sf_dir):
 
 
 @query("""
-WITH n AS (SELECT source, doc_id, lower(regexp_replace(COALESCE(text, ''), '\\s+', ' ', 'g')) AS t FROM documents),
+WITH n AS (SELECT source, doc_id, lower(regexp_replace(COALESCE(text, ''), '\\s+', ' ', 'g')) AS t FROM dd),
 f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source, t ORDER BY doc_id) AS r FROM n)
 SELECT source AS doc_id, doc_id AS row_id, (ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INTEGER AS idx FROM f WHERE r = 1""")
 def dedupe_chunks(spark, sf_dir):
