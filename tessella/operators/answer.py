@@ -12,6 +12,7 @@ import pyarrow as pa
 from tessella.functions.citations import FALLBACK
 from tessella.functions.text import bigrams, estimate_tokens, sentences, source_label, tokens
 
+#: Fixed value: words by which a sentence goes on from the one before.
 CONTINUES = re.compile(r"^(?:it|he|she|they|this|these|those|his|her|its|their|there|such|both|the latter|the former)\b", re.I)
 
 

@@ -213,6 +213,7 @@ def format_context(spark, sf_dir):
 
 # ---------------------------------------------------------------- history
 
+#: Fixed value: words by which a question points back.
 REFERS = r"(?i)\b(?:it|this|that|they|them|those|these|its|their|the same|above)\b"
 USERS = "SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'"
 
