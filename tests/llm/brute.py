@@ -92,3 +92,87 @@ def statistics(text: str | None) -> tuple:
     n = len(words)
     failed = n < 20 or 100 * len(covered) > 30 * n
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), again, len(covered), failed
+
+
+def _chi2(x: float, dof: int) -> float:
+    from math import exp, factorial
+
+    return 1 - exp(-x / 2) * sum((x / 2) ** i / factorial(i) for i in range(dof // 2))
+
+
+def _quantile(q: float, dof: int) -> float:
+    low, high = 0.0, 200.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _chi2(mid, dof) < q else (low, mid)
+    return high
+
+
+def outlier_distances(x: np.ndarray, floors: tuple, support: float = 0.75, steps: int = 12) -> np.ndarray:
+    """Squared distances by the minimum covariance determinant of the rows of x, from the three starts."""
+    ridge = np.diag(np.square(floors))
+    lowest = lambda v, q: np.sort(v)[max(0, int(np.ceil(q * len(v))) - 1)]
+    far = lambda y, m, c: np.einsum("ij,jk,ik->i", y - m, np.linalg.inv(c), y - m)
+    cov = lambda y: np.cov(y, rowvar=False, bias=True)
+    middle = np.array([lowest(c, 0.5) for c in x.T])
+    width = np.maximum([1.4826 * lowest(np.abs(c - m), 0.5) for c, m in zip(x.T, middle)], floors)
+    z = (x - middle) / width
+    length = np.linalg.norm(z, axis=1, keepdims=True)
+    units = np.divide(z, length, out=np.zeros_like(z), where=length > 0)
+    shapes = [np.eye(len(floors))] + [cov(y) + np.diag(np.square(floors / width)) for y in (np.tanh(z), units)]
+    p = len(floors)
+    scale = support / _chi2(_quantile(support, p), p + 2)
+    best = None
+    for shape in shapes:
+        m, c = middle, shape * np.outer(width, width)
+        for _ in range(steps):
+            d = far(x, m, c)
+            inner = x[d <= lowest(d, support)]
+            m, c = inner.mean(0), cov(inner) * scale + ridge
+        det = np.linalg.slogdet(c)[1]
+        if best is None or det < best[0] - 1e-9:
+            best = det, m, c
+    inner = x[far(x, *best[1:]) <= _quantile(0.975, p)]
+    return far(x, inner.mean(0), cov(inner) * 0.975 / _chi2(_quantile(0.975, p), p + 2) + ridge)
+
+
+def licence_windows(text: str | None, window: int = 64, step: int = 48, wrapped: int = 100) -> list:
+    """Word lists of the windows of a text's distinct paragraphs, comment marks off."""
+    mark = re.compile(r"(?:/\*+|\*+/?|//+!?|#+|--+|;+|%+|<!--|\.\.|(?i:rem|dnl)\b)[ \t\r]*")
+    lines = []
+    for line in (text or "").split("\n"):
+        line = line.lstrip(" \t\r")
+        while m := mark.match(line):
+            line = line[m.end() :]
+        lines.append(line)
+    blocks, before = [], 0
+    for line in lines:
+        if blocks and 0 < before <= wrapped and 0 < len(line) <= wrapped:
+            blocks[-1] += " " + line
+        else:
+            blocks.append(line)
+        before = len(line)
+    out = []
+    for p in dict.fromkeys(blocks if blocks == lines else blocks + lines):
+        words = re.findall(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*", p.lower())
+        starts = range(0, max(1, len(words) - (window - step)), step)
+        out += [words] if 0 < len(words) <= window else [words[a : a + window] for a in starts] if words else []
+    return out
+
+
+def licences(text: str | None, vocabulary: dict, weights: np.ndarray, bias: np.ndarray, heat: float, classes: list, templates: dict) -> str | None:
+    """Families that the classifier gives a window and a template confirms."""
+    pairs = lambda w: {" ".join(w[i : i + 2]) for i in range(max(1, len(w) - 1))}
+    shapes = {f: [pairs(re.findall(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*", t.lower())) for t in ts] for f, ts in templates.items() if f != "unknown"}
+    owners = Counter(x for ts in shapes.values() for x in set().union(*ts))
+    found = set()
+    for w in licence_windows(text):
+        grams = {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+        z = bias + sum((weights[:, vocabulary[g]] for g in grams if g in vocabulary), np.zeros(len(bias)))
+        family = classes[int(z.argmax())]
+        odds = np.exp((z - z.max()) / heat)
+        if family != "unknown" and odds.max() / odds.sum() >= 0.05:
+            own = pairs(w)
+            if any(len(t & own) >= 0.6 * len(t) and any(owners[x] == 1 for x in t & own) for t in shapes[family]):
+                found.add(family)
+    return ",".join(sorted(found)) or None

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
 
-from tessella.llm import queries
+from tessella.llm import license_scan, near_dedup, quality_rules, queries
 from tests.compare import TESTDATA, difference
 from tests.llm import brute
 
@@ -119,6 +119,55 @@ def test_quality_rules(spark, docs):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_rules_verdict(spark):
+    """Distances and verdicts row by row against a plain version of the estimate."""
+    frame = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet").select("doc_id", "lang", "source", "text")
+    rows = quality_rules.quality_rules(frame, min_rows=60).collect()
+    good = [r for r in rows if not r.base_failed]
+    sizes = Counter((r.lang, r.source) for r in good)
+    pools = Counter(r.lang for r in good if sizes[r.lang, r.source] < 60)
+    group = lambda r: (r.lang, r.source) if sizes[r.lang, r.source] >= 60 else r.lang if pools[r.lang] >= 60 else None
+    groups = defaultdict(list)
+    for r in good:
+        groups[group(r)].append(r)
+    checked = 0
+    for own in groups.values():
+        x = [[np.log((r.word_chars + 150) / (r.n_words + 30)), np.log1p(r.n_symbols / (r.n_words + 1)), r.n_dup_lines / (r.n_words / 8 + r.n_dup_lines + 1), r.n_repeat_words / (r.n_words + 30)] for r in own]
+        if len(own) < 60:
+            continue
+        want = brute.outlier_distances(np.array(x), np.array(quality_rules.FLOORS))
+        for r, d in zip(own, want):
+            assert abs(r.distance - d) <= 0.02 * d + 1e-6, (r.doc_id, r.distance, d)
+            assert r.kept == (d <= quality_rules.chi2_quantile(0.99999, 4))
+            checked += 1
+    assert checked > 500
+
+
+def test_license_scan(spark, docs):
+    """The query's families against plain splitting, scoring and comparison by the same weights, wrapped notices included."""
+    import textwrap
+
+    made = {-1 - i: "Title\n\n" + "\n".join(" * " + line for line in textwrap.wrap(t, 70)) + "\n\nMore text." for i, t in enumerate(x for ts in license_scan.TEMPLATES.values() for x in ts)}
+    every = {**docs, **made}
+    frame = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    model = license_scan.fit(frame)
+    vocabulary = {g: i for i, g in enumerate(model.vectors.vocabulary)}
+    weights, bias = model.classifier.coefficientMatrix.toArray(), model.classifier.interceptVector.toArray()
+    rows = license_scan.license_scan(frame, model=model).collect()
+    found = {r.doc_id: r.families for r in rows}
+    assert found == {i: brute.licences(t, vocabulary, weights, bias, model.heat, license_scan.CLASSES, license_scan.TEMPLATES) for i, t in every.items()}
+    names = [f for f, ts in license_scan.TEMPLATES.items() for _ in ts]
+    wrong = [(f, found[-1 - i]) for i, f in enumerate(names) if found[-1 - i] != (None if f == "unknown" else f)]
+    assert len(names) == 84 and len(wrong) <= 2, wrong
+
+
+@pytest.mark.parametrize("percent", [40, 60])
+def test_minhash_other_similarity(spark, docs, percent):
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    rows = near_dedup.near_duplicates(frame, k=4, percent=percent, crowd=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute.near_duplicates(docs, 4, percent)
+
+
 def test_minhash_lsh_forest(spark, docs):
     want = brute.near_duplicates(docs, 4, 80)
     rows = queries.op10_minhash_lsh_forest(spark, SF).collect()

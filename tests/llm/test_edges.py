@@ -199,7 +199,9 @@ def test_bin_completion():
     for _ in range(150):
         capacity = 30
         items = sorted((draw.randint(4, 18) for _ in range(draw.randint(1, 9))), reverse=True)
-        plan = packing.bin_completion(Counter(items), capacity)
+        found = packing.bin_completion(Counter(items), capacity)
+        plan = found.patterns
+        assert found.bins == sum(times for times, _ in plan) >= found.bound
         assert Counter(x for times, own in plan for y, n in own for x in [y] * n * times) == Counter(items)
         assert all(sum(y * n for y, n in own) <= capacity for _, own in plan)
         want = fewest(items, capacity)
