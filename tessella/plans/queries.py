@@ -324,10 +324,18 @@ def neighbor_expand(spark, sf_dir):
 @query()
 def retrieve_hybrid(spark, sf_dir):
     """Full retrieval: both lists, fusion, neighbours within the budget, text joined last."""
-    keyword, semantic = _lists(spark, sf_dir)
-    rows = paged_chunks(spark, sf_dir).select("doc_id", F.col("row_id").cast("bigint").alias("idx"), "page", "section", "text", "tokens")
-    config = retrieve.RetrievalConfig(neighbors=True)
-    return retrieve.retrieve(rows, keyword, config, semantic).drop("text")
+    chunks = paged_chunks(spark, sf_dir)
+    places = chunks.select("doc_id", F.col("row_id").cast("bigint").alias("row_id"), F.col("idx").alias("place"))
+
+    def placed(found):
+        """A list by the chunks' places within their documents, so that places next to each other are neighbours."""
+        return found.withColumnRenamed("idx", "row_id").join(places, ["doc_id", "row_id"]).drop("row_id").withColumnRenamed("place", "idx")
+
+    keyword, semantic = map(placed, _lists(spark, sf_dir))
+    rows = chunks.select("doc_id", "idx", "page", "section", "text", "tokens")
+    config = retrieve.RetrievalConfig(neighbors=True, context_budget=6000)
+    found = retrieve.retrieve(rows, keyword, config, semantic)
+    return found.withColumn("text", F.sha1("text"))
 
 
 # ---------------------------------------------------------------- cleaning and chunking
