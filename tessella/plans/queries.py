@@ -19,7 +19,8 @@ from tessella.functions import vectors as V
 from tessella.operators import answer, evaluate, index, ingest, measure, retrieve
 from tessella.plans import sql
 from tessella.plans.sql import quoted
-from tessella.sources.stash import file_system, shared_dir
+from tessella.sources.stash import file_system, new_path, shared_dir
+from tessella.streaming import embed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -230,6 +231,35 @@ def int8_top10(spark, sf_dir):
     return retrieve.cosine_candidates(rows, vector_queries(spark, sf_dir), 10).select("query_id", "idx", "score", "rank")
 
 
+LETTERS = "aeinot"
+_COUNTS = ", ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in LETTERS)
+
+
+@query(f"""
+WITH t AS (SELECT source AS doc_id, doc_id AS idx, COALESCE(text, '') AS text FROM dd),
+v AS (SELECT doc_id, idx, [{_COUNTS}] AS x FROM t),
+s AS (SELECT *, CASE WHEN list_max(x) > 0 THEN list_max(x)::DOUBLE / 127 ELSE 1.0::DOUBLE END AS s FROM v)
+SELECT doc_id, idx, 'letters' AS model, list_aggregate([floor(c / s + 0.5)::INTEGER FOR c IN x], 'string_agg', ',') AS q, s::FLOAT::DOUBLE AS scale FROM s""")
+def embed_incremental(spark, sf_dir):
+    """Chunks that arrive in two parts, embedded by a stream that is started for each: the second start goes on from
+    the first one's checkpoint. Counts of letters stand for a model."""
+    chunks, vectors, checkpoint = (new_path(spark, f"embed-{x}") for x in ("chunks", "vectors", "checkpoint"))
+    rows = chunk_table(spark, sf_dir)
+
+    def letters(text):
+        text = F.coalesce(text, F.lit(""))
+        return F.array(*[F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS])
+
+    for first in (True, False):
+        rows.where((F.col("idx") % 2 == 0) == first).write.mode("append").parquet(chunks)
+        embed.embed_stream(spark, chunks, vectors, checkpoint, rows.schema, letters, "letters", files=64)
+    for done in (chunks, checkpoint):
+        fs, path = file_system(spark, done)
+        fs.delete(path, True)
+    found = embed.vectors_of(spark, vectors)
+    return found.select("doc_id", "idx", "model", F.array_join(F.transform("q", lambda x: x.cast("string")), ",").alias("q"), F.col("scale").cast("double").alias("scale"))
+
+
 def _lists(spark, sf_dir, k=20):
     """Keyword and semantic lists over the same ids: a vector belongs to the document of its id."""
     keyword = _bm25(spark, sf_dir, False, k)

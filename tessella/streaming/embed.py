@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessella.functions.vectors import quantize
 
@@ -13,7 +14,7 @@ KEYS = ("doc_id", "idx", "model")
 
 
 def embed_stream(
-    spark: SparkSession, chunks_path: str, vectors_path: str, checkpoint: str, schema: str, embed: Callable[[Column], Column], model: str, files: int = 4
+    spark: SparkSession, chunks_path: str, vectors_path: str, checkpoint: str, schema: str | StructType, embed: Callable[[Column], Column], model: str, files: int = 4
 ) -> None:
     """Quantised vectors of all chunk files that aren't done yet; restarts go on where the checkpoint is.
 

@@ -12,6 +12,7 @@ from tessella.functions import text as T
 from tessella.functions.porter import stem
 from tessella.operators import index, retrieve
 from tessella.plans import evaluation_queries, queries, report_queries  # noqa: F401  all fill the registry
+from tessella.streaming import embed
 from tests.compare import TESTDATA, difference
 
 SF = f"{TESTDATA}/sf0.001"
@@ -102,3 +103,17 @@ def test_retrieval_with_neighbours(spark):
     config = retrieve.RetrievalConfig(mode="bm25", k=2, neighbors=True, context_budget=45)
     got = {(r.idx, r.neighbor, r.neighbor_of) for r in retrieve.retrieve(chunks, keyword, config).collect()}
     assert got == {(1, False, None), (4, False, None), (2, True, 1), (0, True, 1)}
+
+
+def test_embed_stream(spark, tmp_path):
+    """A start without new files does nothing; a key that comes again takes its latest vector; nulls are rows, too."""
+    schema = "doc_id string, idx int, text string"
+    paths = [str(tmp_path / x) for x in ("chunks", "vectors", "checkpoint")]
+    embed_text = lambda x: F.array(F.coalesce(F.length(x), F.lit(0)), F.lit(1))
+    parts = [[("d", 0, "four"), ("d", 0, "four"), ("d", 1, None)], [], [("d", 0, "12345678"), ("e", 0, "")]]
+    for part in parts:
+        if part:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(paths[0])
+        embed.embed_stream(spark, *paths, schema, embed_text, "m")
+    found = {(r.doc_id, r.idx): (r.q, round(r.scale * 127, 4)) for r in embed.vectors_of(spark, paths[1]).collect()}
+    assert found == {("d", 0): ([127, 16], 8.0), ("d", 1): ([0, 127], 1.0), ("e", 0): ([0, 127], 1.0)}
