@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, chat_format, embedding_dedup, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, warc
+from tessella.llm import bpe, chat_format, embedding_dedup, fill_middle, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,3 +98,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_license_scan"] = op4_license_scan
+
+
+def op12_wavelet_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fill_middle.digest(fill_middle.fill_in_middle(docs, unit="line", seed="7", rate=100, spm_rate=50))
+
+
+QUERIES["op12_wavelet_fim"] = op12_wavelet_fim
+ORACLES["op12_wavelet_fim"] = fill_middle.ORACLE
