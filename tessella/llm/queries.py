@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, chat_format, embedding_dedup, fill_middle, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, warc
+from tessella.llm import bpe, chat_format, embedding_dedup, fill_middle, hidden_markov, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,3 +107,10 @@ def op12_wavelet_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op12_wavelet_fim"] = op12_wavelet_fim
 ORACLES["op12_wavelet_fim"] = fill_middle.ORACLE
+
+
+def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.language_model(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op11_hidden_markov"] = op11_hidden_markov
