@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, chat_format, embedding_dedup, fill_middle, hidden_markov, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, warc
+from tessella.llm import bpe, chat_format, collocations, embedding_dedup, fill_middle, hidden_markov, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,3 +114,12 @@ def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_hidden_markov"] = op11_hidden_markov
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("lang", "text")
+    return collocations.collocations(docs, least=100, longest=5, top=2000)
+
+
+QUERIES["op13_collocations"] = op13_collocations
+ORACLES["op13_collocations"] = collocations.ORACLE
