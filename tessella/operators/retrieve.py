@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import estimate_tokens, source_label
 from tessella.operators.index import KEYS, top
+from tessella.operators.vector_search import cosine_candidates  # noqa: F401  a list of retrieval
 
 RRF_K = 60
 
@@ -34,49 +35,6 @@ class RetrievalConfig:
         return max(self.fetch_k, 4 * self.k)
 
 
-def cosine_candidates(vectors: DataFrame, queries: DataFrame, k: int, rows_per_block: int = 4096) -> DataFrame:
-    """(query_id, doc_id, idx, score, rank): the k nearest rows of the query's model for each query.
-
-    Queries are a batch that the caller keeps small (it goes to every task, in its given size); rows come in Arrow
-    blocks, one matrix product each, and each block passes on its k best for each query only.
-    """
-    asked = queries.select("query_id", "model", "qvec").toPandas()
-    groups = {}
-    for model, part in asked.groupby("model", dropna=False):
-        q = np.stack([np.asarray(x, np.float64) for x in part["qvec"]])
-        norms = np.linalg.norm(q, axis=1, keepdims=True)
-        groups[model] = (part["query_id"].to_numpy(), q / np.where(norms == 0, 1, norms))
-    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema} | {"query_id": queries.schema["query_id"].dataType.simpleString()}
-
-    def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, rows_per_block):
-                block = batch.slice(start, rows_per_block)
-                model = np.array(block.column("model").to_pylist(), object)
-                for name in dict.fromkeys(model.tolist()):
-                    if name not in groups:
-                        continue
-                    at = np.flatnonzero(model == name)
-                    ids, q = groups[name]
-                    rows = block.take(pa.array(at))
-                    x = rows.column("vector")
-                    x = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
-                    norms = np.linalg.norm(x, axis=1)
-                    s = (q @ x.T) / np.where(norms == 0, 1, norms)[None]
-                    n = min(k, len(at))
-                    # ties at the border stay: the exact order is settled by the window
-                    low = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-                    i, j = np.nonzero(s >= low - 1e-9)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[i]), rows.column("doc_id").take(pa.array(j)), rows.column("idx").take(pa.array(j)), pa.array(s[i, j])],
-                        ["query_id", "doc_id", "idx", "score"],
-                    )
-
-    schema = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, idx {kinds['idx']}, score double"
-    found = vectors.select(*KEYS, "model", "vector").mapInArrow(run, schema)
-    return top(found.where(F.col("score").isNotNull() & ~F.isnan("score")).withColumn("score", F.round("score", 6)), k)
-
-
 def fuse(lists: list[DataFrame], weights: list[float] | None = None, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion: (query_id, doc_id, idx, score) with score = sum of weight / (k + rank)."""
     weights = weights or [1.0] * len(lists)

@@ -13,12 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import citations as C
 from tessella.functions import text as T
 from tessella.functions import vectors as V
-from tessella.operators import answer, evaluate, index, ingest, measure, retrieve
+from tessella.operators import index, ingest, measure, retrieve, vector_search
 from tessella.plans import sql
-from tessella.plans.sql import quoted
 from tessella.sources.stash import file_system, new_path, shared_dir
 from tessella.streaming import embed
 
@@ -184,6 +182,11 @@ def vector_table(spark, sf_dir):
     return rows.select(F.col("label").alias("doc_id"), F.col("vec_id").alias("idx"), F.lit("m").alias("model"), F.col("embedding").alias("vector"))
 
 
+def int8_vectors(spark, sf_dir):
+    rows = vector_table(spark, sf_dir).withColumn("z", V.quantize(F.col("vector")))
+    return rows.select("doc_id", "idx", "model", "z.q", "z.scale")
+
+
 def vector_queries(spark, sf_dir):
     """Questions with a vector: the embeddings row of the same id."""
     rows = table(spark, sf_dir, "embeddings").join(questions(spark, sf_dir), F.col("vec_id") == F.col("query_id"))
@@ -225,10 +228,20 @@ SELECT query_id, idx, score, rank::INTEGER AS rank FROM (SELECT *, ROW_NUMBER()
     ROUND(list_cosine_similarity(q.embedding::DOUBLE[], list_transform(v.q, lambda x: (x * v.scale)::DOUBLE)), 6) AS score
   FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN z v)) WHERE rank <= 10""")
 def int8_top10(spark, sf_dir):
-    z = V.quantize(F.col("embedding"))
-    rows = table(spark, sf_dir, "embeddings").withColumn("z", z)
-    rows = rows.select(F.col("label").alias("doc_id"), F.col("vec_id").alias("idx"), F.lit("m").alias("model"), V.dequantize(F.col("z.q"), F.col("z.scale")).alias("vector"))
-    return retrieve.cosine_candidates(rows, vector_queries(spark, sf_dir), 10).select("query_id", "idx", "score", "rank")
+    """Questions as they are against int8 rows."""
+    return vector_search.quantised_candidates(int8_vectors(spark, sf_dir), vector_queries(spark, sf_dir), 10).select("query_id", "idx", "score", "rank")
+
+
+@query(f"""
+WITH z AS ({QUANT})
+SELECT query_id, idx, score, rank::INTEGER AS rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, label, idx) AS rank FROM (
+  SELECT b.item_id AS query_id, v.label, v.vec_id AS idx, ROUND(list_inner_product(q.q, v.q) * q.scale::DOUBLE * v.scale::DOUBLE, 6) AS score
+  FROM benchmark b JOIN z q ON q.vec_id = b.item_id CROSS JOIN z v)) WHERE rank <= 10""")
+def int8_pairs_top10(spark, sf_dir):
+    """Both sides in int8."""
+    rows = int8_vectors(spark, sf_dir)
+    asked = rows.join(questions(spark, sf_dir), F.col("idx") == F.col("query_id")).select("query_id", "model", "q", "scale")
+    return vector_search.int8_candidates(rows, asked, 10).select("query_id", "idx", "score", "rank")
 
 
 LETTERS = "aeinot"
