@@ -17,6 +17,7 @@ from tessella.plans.queries import (
     _cosine_sql,
     documents,
     pages_of,
+    paged_places,
     paged_sources,
     query,
     questions,
@@ -73,7 +74,7 @@ def parse_questions(spark, sf_dir):
 def made_answers(spark, sf_dir):
     """An answer for each benchmark item: its text as a claim, with citations of its best sources' pages (and, for every
     third item, of a page that wasn't retrieved)."""
-    best = paged_sources(spark, sf_dir, 2).groupBy("query_id").agg(F.min_by(F.struct("doc_name", "page"), "rank").alias("s"))
+    best = paged_places(spark, sf_dir, 1).groupBy("query_id").agg(F.min_by(F.struct("doc_name", "page"), "rank").alias("s"))
     rows = questions(spark, sf_dir).join(best, "query_id")
     wrong = F.when(F.col("query_id") % 3 == 0, "; Other p. 900").otherwise("")
     cite = F.concat(F.lit(" ["), T.source_label(F.col("s.doc_name"), F.col("s.page")), wrong, F.lit("]"))
@@ -106,7 +107,7 @@ m AS (SELECT c.*, EXISTS (SELECT 1 FROM s WHERE s.query_id = c.query_id AND s.pa
 SELECT query_id, COUNT(*) AS cited, COUNT(*) FILTER (WHERE ok) AS valid, COUNT(*) FILTER (WHERE NOT ok) AS invalid,
   ROUND(COUNT(*) FILTER (WHERE ok) / COUNT(*)::DOUBLE, 6) AS precision FROM m GROUP BY query_id""")
 def citation_check(spark, sf_dir):
-    return evaluate.citation_check(made_answers(spark, sf_dir), paged_sources(spark, sf_dir)).drop("coverage")
+    return evaluate.citation_check(made_answers(spark, sf_dir), paged_places(spark, sf_dir)).drop("coverage")
 
 
 @query(f"""
@@ -153,7 +154,7 @@ WITH s AS ({SOURCES2}), b AS (SELECT query_id, regexp_replace(lower(doc_id), '[^
 SELECT s.query_id, ROUND(AVG(CASE WHEN s.page = b.page AND (d.single OR starts_with(regexp_replace(lower(s.doc_id), '[^a-z0-9]+', '', 'g'), b.k) OR starts_with(b.k, regexp_replace(lower(s.doc_id), '[^a-z0-9]+', '', 'g'))) THEN 1 ELSE 0 END), 6) AS utilization
 FROM s JOIN b USING (query_id) JOIN d USING (query_id) GROUP BY s.query_id""")
 def context_utilization(spark, sf_dir):
-    return evaluate.context_utilization(made_answers(spark, sf_dir), paged_sources(spark, sf_dir))
+    return evaluate.context_utilization(made_answers(spark, sf_dir), paged_places(spark, sf_dir))
 
 
 SIGNALS = """SELECT event_id AS query_id, CASE WHEN event_id % 2 = 0 THEN event_id % 5 + 1 END AS groundedness, CASE WHEN event_id % 3 = 0 THEN event_id % 4 + 2 END AS context_relevance,

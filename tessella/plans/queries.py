@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.functions import vectors as V
 from tessella.operators import index, ingest, measure, retrieve, vector_search
+from tessella.operators.rows import ranked, with_texts
 from tessella.plans import sql
-from tessella.sources.stash import file_system, new_path, shared_dir
+from tessella.sources.stash import file_system, new_path, shared_dir, stash
 from tessella.streaming import embed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,18 +60,42 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-def stored_index(spark: SparkSession, sf_dir: str) -> index.Index:
-    """The index of the documents table: built on its first use in an application, then read. Its name follows the
-    table's place and time, so a table that changes gets a new one."""
+def stored(spark: SparkSession, sf_dir: str, name: str, last: str, build: Callable[[str], None]) -> str:
+    """Folder of tables made of the documents table: built on the first use in an application, then read. Its name follows
+    the table's place and time, so a table that changes gets a new one; ``last`` is the table that build writes last."""
     fs, place = file_system(spark, f"{sf_dir}/documents.parquet")
     state = f"{place}-{fs.getFileStatus(place).getModificationTime()}"
-    path = f"{shared_dir(spark)}/index-{spark.sparkContext.applicationId}-{hashlib.sha1(state.encode()).hexdigest()[:16]}"
-    done_fs, done = file_system(spark, f"{path}/documents/_SUCCESS")  # written last
+    path = f"{shared_dir(spark)}/{name}-{spark.sparkContext.applicationId}-{hashlib.sha1(state.encode()).hexdigest()[:16]}"
+    done_fs, done = file_system(spark, f"{path}/{last}/_SUCCESS")
     if not done_fs.exists(done):
-        index.build(chunk_table(spark, sf_dir), path, F.col("text"))
+        build(path)
+    return path
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of the documents table."""
+    path = stored(spark, sf_dir, "index", "documents", lambda p: index.build(chunk_table(spark, sf_dir), p, F.col("text")))
     return index.open_index(spark, path)
 
 
+def paged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the chunks without their texts: doc_id, doc_name, row_id, tokens, idx (the row's place in its document),
+    page (ten rows) and section (fifty)."""
+
+    def build(path: str) -> None:
+        docs = documents(spark, sf_dir)
+        rows = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("row_id"), T.estimate_tokens(F.col("text")).alias("tokens"))
+        placed = ranked(rows, "doc_id", ["row_id"], "idx").withColumn("idx", F.col("idx").cast("int"))
+        placed = placed.withColumns({"doc_name": F.col("doc_id"), "page": (F.floor(F.col("idx") / 10) + 1).cast("int"), "section": F.floor(F.col("idx") / 50).cast("string")})
+        placed.write.mode("overwrite").parquet(f"{path}/places")
+
+    return spark.read.parquet(f"{stored(spark, sf_dir, 'places', 'places', build)}/places")
+
+
+def row_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+
+
 TERMS = sql.term_rows("dd", "source, doc_id", "text")
 
 # ---------------------------------------------------------------- text and index
@@ -333,23 +358,20 @@ def mmr_top8(spark, sf_dir):
     return retrieve.mmr(few, 8)
 
 
-def paged_chunks(spark, sf_dir):
-    """Chunks with position, page and section: idx is the row's place in its source, ten to a page, fifty to a section."""
-    docs = documents(spark, sf_dir)
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    rows = docs.select(F.col("source").alias("doc_id"), F.col("source").alias("doc_name"), F.col("doc_id").alias("row_id"), place.alias("idx"), "text", T.estimate_tokens(F.col("text")).alias("tokens"))
-    return rows.withColumn("page", (F.floor(F.col("idx") / 10) + 1).cast("int")).withColumn("section", F.floor(F.col("idx") / 50).cast("string"))
-
-
 PAGED = f"""SELECT source AS doc_id, doc_id AS row_id, idx::INTEGER AS idx, (idx // 10 + 1)::INTEGER AS page, (idx // 50)::VARCHAR AS section, text, tokens FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, {sql.estimate_tokens('text')} AS tokens FROM dd)"""
 
 
-def paged_sources(spark, sf_dir, k=4):
-    """The k best chunks of each question, with page, section and text."""
-    chunks = paged_chunks(spark, sf_dir)
+def paged_places(spark, sf_dir, k=4):
+    """The k best chunks of each question, with page and section."""
     best = _bm25(spark, sf_dir, False, k).withColumnRenamed("idx", "row_id")
-    return best.join(chunks, ["doc_id", "row_id"]).select("query_id", "doc_id", "doc_name", "idx", "rank", "score", F.lit(False).alias("neighbor"), "page", "section", "text", "tokens")
+    places = best.join(paged_chunks(spark, sf_dir), ["doc_id", "row_id"])
+    return places.select("query_id", "doc_id", "doc_name", "row_id", "idx", "rank", "score", F.lit(False).alias("neighbor"), "page", "section", "tokens")
+
+
+def paged_sources(spark, sf_dir, k=4):
+    """paged_places with their texts, which join last."""
+    return with_texts(paged_places(spark, sf_dir, k), row_texts(spark, sf_dir), ["row_id"]).drop("row_id")
 
 
 @query(f"""
@@ -361,26 +383,26 @@ n AS (SELECT s.query_id, s.doc_id, c.idx, s.rank AS neighbor_of, d.step, c.token
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id, doc_id, idx ORDER BY neighbor_of, step DESC) AS r FROM n)
 SELECT query_id, doc_id, idx, neighbor_of, step::INTEGER AS step, tokens FROM r WHERE r = 1""")
 def neighbor_expand(spark, sf_dir):
-    return retrieve.neighbor_candidates(paged_sources(spark, sf_dir), paged_chunks(spark, sf_dir))
+    return retrieve.neighbor_candidates(paged_places(spark, sf_dir), paged_chunks(spark, sf_dir))
 
 
 @query()
 def retrieve_hybrid(spark, sf_dir):
     """Full retrieval: both lists, fusion, neighbours within the budget, text joined last."""
     chunks = paged_chunks(spark, sf_dir)
-    places = chunks.select("doc_id", F.col("row_id").cast("bigint").alias("row_id"), F.col("idx").alias("place"))
-
-    def placed(found):
-        """A list by the chunks' places within their documents, so that places next to each other are neighbours."""
-        return found.withColumnRenamed("idx", "row_id").join(places, ["doc_id", "row_id"]).drop("row_id").withColumnRenamed("place", "idx")
-
-    keyword, semantic = map(placed, _lists(spark, sf_dir))
-    rows = chunks.select("doc_id", "idx", "page", "section", "text", "tokens")
+    keyword, semantic = (stash(placed(x, chunks), "list") for x in _lists(spark, sf_dir))
     config = retrieve.RetrievalConfig(neighbors=True, context_budget=6000)
-    found = retrieve.retrieve(rows, keyword, config, semantic)
+    found = retrieve.retrieve(chunks.drop("doc_name"), keyword, config, semantic)
+    found = with_texts(found, row_texts(spark, sf_dir), ["row_id"]).drop("row_id")
     return found.withColumn("text", F.sha1("text"))
 
 
+def placed(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A list by the chunks' places within their documents, so that places next to each other are neighbours."""
+    places = chunks.select("doc_id", F.col("row_id").cast("bigint").alias("row_id"), F.col("idx").alias("place"))
+    return found.withColumnRenamed("idx", "row_id").join(places, ["doc_id", "row_id"]).drop("row_id").withColumnRenamed("place", "idx")
+
+
 # ---------------------------------------------------------------- cleaning and chunking
 
 
