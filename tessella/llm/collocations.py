@@ -35,7 +35,7 @@ from tessella.llm.words import LOWER, byte_set, spans
 #: Bytes between words, and bytes between the pieces that a phrase can't cross.
 SPACE, BREAK = byte_set([0x20, 0x09]), byte_set([*map(ord, ".,;:!?"), *range(0x0A, 0x0E)])
 #: Bytes of text in a chunk.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 #: Ids in a tile's side; pairs from which a tile is dense.
 SIDE, DENSE = 1024, 1 << 16
 #: Rows of the table of frequent entries that may go to every executor; a larger one is joined by its keys.
@@ -49,7 +49,7 @@ def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Ar
     inside = ~(SPACE | BREAK)[data]
     at = np.concatenate([[0], np.cumsum(ends - starts)])
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data[inside])]).dictionary_encode()
-    before = np.concatenate([[0], np.cumsum(BREAK[data])])[starts]  # breaks before each word
+    before = np.concatenate([[0], np.cumsum(BREAK[data], dtype=np.int32)])[starts]  # breaks before each word
     row = np.searchsorted(offsets, starts, "right")
     apart = np.zeros(len(starts), np.int64)
     apart[1:] = (before[1:] != before[:-1]) | (row[1:] != row[:-1])
