@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import citations as C
@@ -160,31 +160,32 @@ def confidence(rows: DataFrame) -> DataFrame:
     score = F.when(F.col("fallback"), 0.0).otherwise(F.round(total / F.when(weight == 0, 1.0).otherwise(weight), 6))
     say = lambda when, text: F.when(when, text)
     reasons = F.array(
-        say(F.col("precision").isNull(), F.lit("No citations in the answer.")),
-        say(F.col("unsupported") > 0, F.lit("Some claims were not found in the retrieved text.")),
-        say(F.col("invalid") > 0, F.lit("Some citations point to pages that were not retrieved.")),
-        say(F.col("misattributed") > 0, F.concat(F.col("misattributed").cast("string"), F.lit(" claim(s) cite a passage that does not contain them."))),
-        say(F.col("groundedness") <= 3, F.concat(F.lit("Judge groundedness "), F.col("groundedness").cast("string"), F.lit("/5."))),
-        say(F.col("cosine") < 0.75, F.lit("Retrieved passages are only weakly similar to the question.")),
+        say(F.col("precision").isNull(), F.lit("The answer cites nothing.")),
+        say(F.col("unsupported") > 0, F.concat(F.col("unsupported").cast("string"), F.lit(" claim(s) have no support in the sources."))),
+        say(F.col("invalid") > 0, F.concat(F.col("invalid").cast("string"), F.lit(" citation(s) name a page that is no source."))),
+        say(F.col("misattributed") > 0, F.concat(F.col("misattributed").cast("string"), F.lit(" claim(s) cite a source without their content."))),
+        say(F.col("groundedness") <= 3, F.concat(F.lit("The judge's groundedness is "), F.col("groundedness").cast("string"), F.lit(" of 5."))),
+        say(F.col("cosine") < 0.75, F.lit("No source is close to the question.")),
     )
-    reasons = F.when(F.col("fallback"), F.array(F.lit("The documents did not contain an answer."))).otherwise(F.filter(reasons, lambda r: r.isNotNull()))
+    reasons = F.when(F.col("fallback"), F.array(F.lit("No answer was found in the sources."))).otherwise(F.filter(reasons, lambda r: r.isNotNull()))
     level = F.when(F.col("fallback"), "Low").when(score >= 0.8, "High").when(score >= 0.6, "Medium").otherwise("Low")
     return rows.select("query_id", level.alias("level"), score.alias("score"), reasons.alias("reasons"))
 
 
+def is_fallback(answer: Column) -> Column:
+    """The answer holds the beginning of the fallback reply."""
+    return F.lower(F.coalesce(answer, F.lit(""))).contains(C.FALLBACK.lower()[:50])
+
+
 def needs_correction(fallback: Column, groundedness: Column, share: Column) -> Column:
-    """An answer is tried again after the fallback reply, a judge score up to 3, or support below a half."""
-    return fallback | F.coalesce(groundedness <= 3, F.lit(False)) | F.coalesce(groundedness.isNull() & (share < 0.5), F.lit(False))
+    """An answer is tried again after the fallback reply, a judge score up to 3, or support below a half (no claim: none)."""
+    return fallback | F.coalesce(groundedness <= 3, F.lit(False)) | (F.coalesce(share, F.lit(0.0)) < 0.5)
 
 
 def better_attempt(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Of two attempts (query_id, quality, fallback, ...) the second, where its quality isn't lower."""
-    quality = F.coalesce("quality", F.lit(0.0)) - F.when(F.col("fallback"), 2).otherwise(0)
-    both = first.withColumn("attempt", F.lit(1)).unionByName(second.withColumn("attempt", F.lit(2)))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("query_id").orderBy(F.desc(quality), F.desc("attempt"))
-    return both.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+    """Of two attempts (query_id, attempt, quality, ...) the second, where its quality isn't lower."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("quality"), F.desc("attempt"))
+    return first.unionByName(second).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
 def retrieval_accuracy(sources: DataFrame, expected: DataFrame) -> DataFrame:

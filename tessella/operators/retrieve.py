@@ -125,39 +125,33 @@ def within_budget(candidates: DataFrame, used: DataFrame, budget: int) -> DataFr
     return rows.select("query_id", F.explode(kept).alias("x")).select("query_id", "x.doc_id", "x.idx", "x.neighbor_of")
 
 
-def retrieve(
-    chunks: DataFrame,
-    keyword: DataFrame,
-    config: RetrievalConfig = RetrievalConfig(),
-    semantic: DataFrame | None = None,
-    vectors: DataFrame | None = None,
-    reranked: DataFrame | None = None,
-) -> DataFrame:
-    """Sources of each query: (query_id, doc_id, idx, rank, neighbor, neighbor_of, score, page, section, text, tokens).
-
-    keyword and semantic are ranked lists (query_id, doc_id, idx, score, rank) of config.pool rows; reranked are scores
-    (query_id, doc_id, idx, rerank_score) of a model, whose order is fused with the first one. Text joins last.
-    """
+def fused_list(keyword: DataFrame, semantic: DataFrame | None, config: RetrievalConfig, vectors: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, idx, score): one list of the two ranked ones (query_id, doc_id, idx, score, rank), by the mode."""
     if semantic is None or config.mode == "bm25":
-        fused = keyword.select("query_id", *KEYS, "score")
-    elif config.mode in ("semantic", "mmr"):
-        without = keyword.join(semantic.select("doc_id").distinct(), "doc_id", "left_anti")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), *KEYS)
-        without = without.withColumn("rank", F.row_number().over(order))
-        mixed = fuse([semantic, without])
-        partial = without.select("query_id").distinct().withColumn("mixed", F.lit(True))
-        alone = semantic.join(partial, "query_id", "left_anti").select("query_id", *KEYS, "score")
-        fused = mixed.join(partial, "query_id", "left_semi").unionByName(alone)
-        if config.mode == "mmr" and vectors is not None:
-            few = top(fused, config.fetch_k).drop("rank").join(vectors.select(*KEYS, "vector"), list(KEYS), "left")
-            picked = mmr(few, 2 * config.k, config.diversity)
-            fused = picked.select("query_id", *KEYS, (-F.col("rank")).cast("double").alias("score"))
-    else:
-        fused = fuse([semantic, keyword], list(config.weights), config.rrf_k)
-    ranked = top(fused, max(config.k, config.fetch_k if config.rerank else config.k))
+        return keyword.select("query_id", *KEYS, "score")
+    if config.mode not in ("semantic", "mmr"):
+        return fuse([semantic, keyword], list(config.weights), config.rrf_k)
+    without = keyword.join(semantic.select("doc_id").distinct(), "doc_id", "left_anti")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *KEYS)
+    without = without.withColumn("rank", F.row_number().over(order))
+    mixed = fuse([semantic, without])
+    partial = without.select("query_id").distinct().withColumn("mixed", F.lit(True))
+    alone = semantic.join(partial, "query_id", "left_anti").select("query_id", *KEYS, "score")
+    fused = mixed.join(partial, "query_id", "left_semi").unionByName(alone)
+    if config.mode == "mmr" and vectors is not None:
+        few = top(fused, config.fetch_k).drop("rank").join(vectors.select(*KEYS, "vector"), list(KEYS), "left")
+        picked = mmr(few, 2 * config.k, config.diversity)
+        fused = picked.select("query_id", *KEYS, (-F.col("rank")).cast("double").alias("score"))
+    return fused
+
+
+def choose(ranked: DataFrame, chunks: DataFrame, config: RetrievalConfig, reranked: DataFrame | None = None) -> DataFrame:
+    """The sources of a ranked list: k rows, after a model's scores (query_id, doc_id, idx, rerank_score) where there are any,
+    whose order is fused with the list's; then neighbours within the budget. chunks' columns join last."""
     if config.rerank and reranked is not None:
-        scores = ranked.join(reranked, ["query_id", *KEYS]).select("query_id", *KEYS, F.col("rerank_score").alias("score"))
-        ranked = top(fuse([top(scores, config.fetch_k), ranked]), config.fetch_k)
+        first = ranked.where(F.col("rank") <= max(config.k, config.fetch_k)).select("query_id", *KEYS, "score", "rank")
+        scores = first.join(reranked, ["query_id", *KEYS]).select("query_id", *KEYS, F.col("rerank_score").alias("score"))
+        ranked = top(fuse([top(scores, config.fetch_k), first]), config.fetch_k)
     chosen = ranked.where(F.col("rank") <= config.k).select("query_id", *KEYS, "rank", "score")
     sources = chosen.withColumns({"neighbor": F.lit(False), "neighbor_of": F.lit(None).cast("int")})
     if config.neighbors:
@@ -168,6 +162,21 @@ def retrieve(
     return sources.join(chunks, list(KEYS), "left")
 
 
+def retrieve(
+    chunks: DataFrame,
+    keyword: DataFrame,
+    config: RetrievalConfig = RetrievalConfig(),
+    semantic: DataFrame | None = None,
+    vectors: DataFrame | None = None,
+    reranked: DataFrame | None = None,
+) -> DataFrame:
+    """Sources of each query: (query_id, doc_id, idx, rank, neighbor, neighbor_of, score, and the columns of chunks).
+
+    keyword and semantic are ranked lists (query_id, doc_id, idx, score, rank) of config.pool rows."""
+    most = max(config.k, config.fetch_k if config.rerank else config.k)
+    return choose(top(fused_list(keyword, semantic, config, vectors), most), chunks, config, reranked)
+
+
 def format_context(sources: DataFrame) -> DataFrame:
     """(query_id, context, context_tokens): sources by their rank, then position, each under its label."""
     section = F.when(F.coalesce("section", F.lit("")) != "", F.concat(F.lit(" (section: "), "section", F.lit(")"))).otherwise("")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import citations as C
 from tessella.functions import text as T
-from tessella.operators import answer, evaluate, index, ingest, measure, retrieve
+from tessella.operators import answer, ask, evaluate, index, ingest, measure, retrieve
 from tessella.plans import sql
 from tessella.plans.queries import (
     LENGTHS,
@@ -214,32 +214,27 @@ def format_context(spark, sf_dir):
 
 # ---------------------------------------------------------------- history
 
-#: Fixed value: words by which a question points back.
-REFERS = r"(?i)\b(?:it|this|that|they|them|those|these|its|their|the same|above)\b"
 USERS = "SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'"
 
 
 @query(rf"""
-SELECT conv_id, turn, CASE WHEN prev IS NOT NULL AND len(string_split_regex(question, '[ \t\n\x0b\f\r]+')) < 12 AND regexp_matches(question, '{REFERS}') THEN prev || ' ' || question ELSE question END AS standalone
+SELECT conv_id, turn, CASE WHEN prev IS NOT NULL AND len(string_split_regex(question, '[ \t\n\x0b\f\r]+')) < 12 AND regexp_matches(question, '{ask.REFERS}') THEN prev || ' ' || question ELSE question END AS standalone
 FROM (SELECT *, LAG(question IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM ({USERS}) WHERE question IS NOT NULL)""")
 def standalone_question(spark, sf_dir):
-    """A short question that points back gets the one before it in front."""
-    rows = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL").select("conv_id", "turn", F.col("text").alias("question"))
-    before = F.lag("question").over(Window.partitionBy("conv_id").orderBy("turn"))
-    short = F.size(F.split("question", r"[ \t\n\x0b\f\r]+")) < 12
-    refers = before.isNotNull() & short & F.col("question").rlike(REFERS)
-    return rows.select("conv_id", "turn", F.when(refers, F.concat(before, F.lit(" "), "question")).otherwise(F.col("question")).alias("standalone"))
+    rows = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL")
+    return ask.standalone_question(rows.select("conv_id", "turn", F.col("text").alias("question")))
 
 
 @query("""
-WITH a AS (SELECT conv_id, turn, text, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'assistant' AND text <> '')
-SELECT conv_id, turn, CASE WHEN length(text) > 600 THEN left(text, 600) || '…' ELSE text END AS answer FROM a WHERE r <= 2""")
+WITH p AS (SELECT conv_id, turn, role, text, LAG(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS question FROM conversations),
+a AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM p WHERE role = 'assistant' AND text <> '')
+SELECT conv_id, turn, question, CASE WHEN length(text) > 600 THEN left(text, 600) || '…' ELSE text END AS answer FROM a WHERE r <= 2""")
 def recent_history(spark, sf_dir):
-    """The last two answers of each conversation, cut at 600 characters."""
-    rows = table(spark, sf_dir, "conversations").where("role = 'assistant' AND text <> ''")
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("r <= 2")
-    cut = F.when(F.length("text") > 600, F.concat(F.substring("text", 1, 600), F.lit("…"))).otherwise(F.col("text"))
-    return rows.select("conv_id", "turn", cut.alias("answer"))
+    """The last two answers of each conversation with their questions, cut at 600 characters."""
+    rows = table(spark, sf_dir, "conversations")
+    asked = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    turns = rows.withColumn("question", asked).where("role = 'assistant'")
+    return ask.recent_history(turns.select("conv_id", "turn", "question", F.col("text").alias("answer"), F.lit(None).cast("string").alias("error")))
 
 
 # ---------------------------------------------------------------- metrics and reports
