@@ -7,6 +7,7 @@ its chunks.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,8 +19,9 @@ from tessella.sources.stash import drop_stash, stash
 
 K1, B = 1.2, 0.75
 KEYS = ("doc_id", "idx")
-#: Folders of the postings, by a hash of the term: a search reads those of its terms.
-BUCKETS = 16
+#: Folders of the postings, by a hash of the term: a search reads those of its terms. There are at least BUCKETS, and one for
+#: BUCKET_ROWS postings in a larger index.
+BUCKETS, BUCKET_ROWS = 16, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -30,10 +32,11 @@ class Index:
     lengths: DataFrame
     documents: DataFrame
     terms: DataFrame
+    buckets: int = BUCKETS
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def term_counts(chunks: DataFrame, text: Column) -> DataFrame:
@@ -52,27 +55,40 @@ def term_counts(chunks: DataFrame, text: Column) -> DataFrame:
     return terms.groupBy(*KEYS, "term").agg(F.sum("c").alias("tf"))
 
 
+def chunk_lengths(chunks: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, idx, dl) of all chunks, those without a term too."""
+    found = counts.groupBy(*KEYS).agg(F.sum("tf").alias("dl"))
+    return chunks.select(*KEYS).join(found, list(KEYS), "left").select(*KEYS, F.coalesce("dl", F.lit(0)).cast("bigint").alias("dl"))
+
+
+def posting_rows(counts: DataFrame, lengths: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, idx, term, tf, dl, bucket), sorted by bucket and term within each task. A bucket is dealt to several tasks, so a
+    frequent term doesn't make one of them large."""
+    rows = counts.join(lengths, list(KEYS)).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "bucket", F.pmod(F.xxhash64(*KEYS), F.lit(4))).sortWithinPartitions("bucket", "term")
+
+
 def build(chunks: DataFrame, path: str, text: Column | None = None) -> None:
     """Write the index of chunks (doc_id, idx, section, text) to path: section title and text of each chunk."""
     text = F.concat_ws("\n", "section", "text") if text is None else text
     spark = chunks.sparkSession
     counts = stash(term_counts(chunks, text), "term-counts")
-    found = counts.groupBy(*KEYS).agg(F.sum("tf").alias("dl"))
-    lengths = chunks.select(*KEYS).join(found, list(KEYS), "left").select(*KEYS, F.coalesce("dl", F.lit(0)).cast("bigint").alias("dl"))
+    buckets = min(4096, max(BUCKETS, math.ceil(counts.count() / BUCKET_ROWS)))
+    lengths = chunk_lengths(chunks, counts)
     lengths.write.mode("overwrite").parquet(f"{path}/lengths")
     lengths = spark.read.schema(lengths.schema).parquet(f"{path}/lengths")
     counts.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
-    rows = counts.join(lengths, list(KEYS)).withColumn("bucket", bucket_of(F.col("term")))
-    # a bucket is dealt to several tasks, so a frequent term doesn't make one of them large
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", F.pmod(F.xxhash64(*KEYS), F.lit(4)))
-    rows.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    posting_rows(counts, lengths, buckets).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}/settings")
     documents = lengths.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
     documents.write.mode("overwrite").parquet(f"{path}/documents")
     drop_stash(counts)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "documents", "terms")))
+    tables = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "documents", "terms"))
+    return Index(*tables, spark.read.schema("buckets int").parquet(f"{path}/settings").first().buckets)
 
 
 def document_stats(index: Index) -> DataFrame:
@@ -113,7 +129,7 @@ def top(rows: DataFrame, k: int, by: str = "score", group: tuple[str, ...] = ("q
 def _postings_of(index: Index, words: DataFrame) -> DataFrame:
     """Postings of the terms of words (term, ..): only their buckets' folders are read, as the length test lets Spark
     prune by the small side."""
-    keyed = words.where(F.length("term") >= 2).withColumn("bucket", bucket_of(F.col("term")))
+    keyed = words.where(F.length("term") >= 2).withColumn("bucket", bucket_of(F.col("term"), index.buckets))
     return index.postings.join(keyed, ["bucket", "term"]).drop("bucket")
 
 
