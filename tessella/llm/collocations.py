@@ -4,7 +4,8 @@ A table of chunks holds the words of many texts of one language as an array of n
 of 2, 3, ... words):
 
 1. each chunk's own counts are summed over all chunks; what comes to ``least`` is frequent and gets an id, ranked by frequency;
-2. ids go back to the chunks by a join on the chunk's own distinct entries, so no task needs the whole vocabulary;
+2. ids go back to the chunks: a table of at most ``SMALL`` frequent entries goes to every task, a larger one is joined with each
+   chunk's own distinct entries, so that no task needs it whole;
 3. in a chunk, the pairs of neighbouring ids are counted by direct-address tiles: ids are split into ranges of ``SIDE``, so
    a pair belongs to a tile of SIDE x SIDE cells; a tile with many pairs is counted by a dense bincount, all others as sorted
    coordinates with run lengths. Frequent ids are small, so the few tiles near the origin hold most pairs.
@@ -24,7 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,12 +37,12 @@ from tessella.llm.words import LOWER, byte_set, spans
 
 #: Bytes between words, and bytes between the pieces that a phrase can't cross.
 SPACE, BREAK = byte_set([0x20, 0x09]), byte_set([*map(ord, ".,;:!?"), *range(0x0A, 0x0E)])
-#: Bytes of text in a chunk.
-CHUNK = 2 << 20
-#: Ids in a tile's side; pairs from which a tile is dense.
-SIDE, DENSE = 1024, 1 << 16
-#: Rows of the table of frequent entries that may go to every executor; a larger one is joined by its keys.
-SMALL = 300_000
+#: Bytes of text in a chunk: its row is small for the JVM.
+CHUNK = 256 << 10
+#: Ids in a tile's side; pairs from which a tile is dense; pairs that a task counts at once.
+SIDE, DENSE, AT_ONCE = 1024, 1 << 16, 1 << 20
+#: Entries of a level that may go to every task; more are joined by their keys.
+SMALL = 1_000_000
 
 
 def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -106,35 +109,134 @@ def _lists(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _pairs(chunks: DataFrame, ids: DataFrame, level: int) -> DataFrame:
-    """The chunks of the next level: symbols are ids of frequent phrases of ``level`` words by their first word's place (0: none),
-    a, b and n the pairs of phrases a word apart and their counts. ids: chunk, ids (array of key and id)."""
+def _lookup(frequent: DataFrame, level: int) -> dict:
+    """Of each language the frequent words by their ids, or the keys of frequent pairs in order with their ids."""
+    rows = frequent.select("lang", "id", *(["a"] if level == 1 else [_key().alias("a")])).toArrow().combine_chunks()
+    out, langs = {}, rows["lang"].combine_chunks().dictionary_encode() if len(rows) else pa.array([], pa.string()).dictionary_encode()
+    code = langs.indices.to_numpy(zero_copy_only=False)
+    for k, lang in enumerate(langs.dictionary.to_pylist()):
+        own = rows.take(pa.array(np.flatnonzero(code == k))).sort_by("id" if level == 1 else "a")
+        out[lang] = own["a"].combine_chunks() if level == 1 else (own["a"].to_numpy(), own["id"].to_numpy())
+    return out
+
+
+def _key() -> Column:
+    return F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
+
+
+def _replaced(chunks: DataFrame, level: int, table: Broadcast | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """The chunks of the next level, stashed: symbols are ids of frequent phrases of ``level`` words by their first word's place
+    (0: none). Ids come from the table (_lookup) or from rows (chunk, ids: array of key and id)."""
+
+    def known(lang: str, words, own) -> tuple[np.ndarray, np.ndarray]:
+        if own is not None:
+            keys, new = (own.values.field(k).to_numpy(zero_copy_only=False) for k in ("key", "id"))
+            order = np.argsort(keys)
+            return keys[order], new[order]
+        if level > 1:
+            return table.value.get(lang, (np.zeros(0, np.int64), np.zeros(0, np.int32)))
+        places = pc.index_in(words.values, table.value.get(lang, pa.array([], pa.string())))
+        hit = np.flatnonzero(places.is_valid().to_numpy(zero_copy_only=False))
+        return hit + 1, places.fill_null(0).to_numpy(zero_copy_only=False)[hit] + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, lang, raw, own in zip(*(batch.column(i) for i in range(4))):
-                old = np.frombuffer(raw.as_buffer(), np.int32).astype(np.int64)
-                keys, new = (own.values.field(k).to_numpy(zero_copy_only=False) for k in ("key", "id"))
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            for i in range(len(batch)):
+                old = np.frombuffer(columns["symbols"][i].as_buffer(), np.int32)
+                keys, new = known(columns["lang"][i].as_py(), *(columns[c][i] if c in columns else None for c in ("a", "ids")))
                 if level == 1:
-                    table = np.zeros(int(old.max(initial=0)) + 1, np.int32)
-                    table[keys] = new
-                    symbols = table[old]
+                    codes = np.zeros(int(old.max(initial=0)) + 1, np.int32)
+                    codes[keys] = new
+                    symbols = codes[old]
                 else:
-                    order = np.argsort(keys)
-                    keys, new = keys[order], new[order]
-                    key = old[:-1] << 32 | old[1:]
-                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    hit = (old[:-1] > 0) & (old[1:] > 0) & (keys[at] == key)
-                    symbols = np.where(hit, new[at], 0).astype(np.int32)
-                both = (symbols[:-1] > 0) & (symbols[1:] > 0)
-                a, b, n = pair_counts(symbols[:-1][both], symbols[1:][both])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang.as_py()], pa.string()), pa.array([symbols.tobytes()], pa.binary()), *(_lists(pa.array(x, t)) for x, t in ((a, pa.int32()), (b, pa.int32()), (n, pa.int64()))), pa.array([chunk.as_py()], pa.int64())],
-                    ["lang", "symbols", "a", "b", "n", "chunk"],
-                )
-
-    rows = chunks.select("chunk", "lang", "symbols").join(ids, "chunk")
-    return stash(rows.mapInArrow(run, "lang string, symbols binary, a array<int>, b array<int>, n array<long>, chunk long"), "pairs")
+                    symbols = np.zeros(len(old), np.int32)
+                    at = np.flatnonzero((old[:-1] > 0) & (old[1:] > 0)) if len(keys) else np.zeros(0, np.int64)
+                    key = old[at].astype(np.int64) << 32 | old[at + 1]
+                    place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                    hit = keys[place] == key
+                    symbols[at[hit]] = new[place[hit]]
+                yield pa.RecordBatch.from_arrays([columns["chunk"].slice(i, 1), columns["lang"].slice(i, 1), pa.array([symbols.tobytes()], pa.binary())], ["chunk", "lang", "symbols"])
+
+    rows = chunks.select("chunk", "lang", "symbols").join(ids, "chunk") if ids is not None else chunks.select("chunk", "lang", "symbols", *(["a"] if level == 1 else []))
+    return stash(rows.mapInArrow(run, "chunk long, lang string, symbols binary"), "symbols")
+
+
+class Sums:
+    """Counts of pairs by language, added up in sorted arrays of bounded size."""
+
+    def __init__(self, most: int):
+        self.most, self.parts, self.size = most, {}, 0
+
+    def add(self, lang: str, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.setdefault(lang, []).append((keys, n))
+        self.size += len(keys)
+
+    def full(self) -> bool:
+        """Whether there are too many entries, after equal ones have been added up."""
+        if self.size > self.most:
+            for lang, parts in self.parts.items():
+                keys, n = (np.concatenate(x) for x in zip(*parts))
+                order = np.argsort(keys, kind="stable")
+                keys, n = keys[order], n[order]
+                first = np.flatnonzero(np.diff(keys, prepend=-1))
+                self.parts[lang] = [(keys[first], np.add.reduceat(n, first))] if len(keys) else []
+            self.size = sum(len(k) for parts in self.parts.values() for k, _ in parts)
+        return self.size > self.most // 2
+
+    def batches(self, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+        for lang, parts in self.parts.items():
+            for keys, n in parts:
+                for i in range(0, len(keys), rows):
+                    own = keys[i : i + rows]
+                    columns = [pa.array([lang] * len(own), pa.string()), pa.array((own >> 32).astype(np.int32)), pa.array((own & 0xFFFFFFFF).astype(np.int32)), pa.array(n[i : i + rows])]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "a", "b", "n"])
+        self.parts, self.size = {}, 0
+
+
+def _pairs(chunks: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """(lang, a, b, n): how often phrase b begins a word after phrase a, added up within each task as far as memory allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, waiting, size = Sums(most), {}, 0
+
+        def count() -> None:
+            for lang, own in waiting.items():
+                a, b, n = pair_counts(*(np.concatenate(x) for x in zip(*own)))
+                sums.add(lang, a << 32 | b, n)
+            waiting.clear()
+
+        for batch in batches:
+            for lang, raw in zip(batch.column(0), batch.column(1)):
+                symbols = np.frombuffer(raw.as_buffer(), np.int32)
+                at = np.flatnonzero((symbols[:-1] > 0) & (symbols[1:] > 0))
+                waiting.setdefault(lang.as_py(), []).append((symbols[at], symbols[at + 1]))
+                size += len(at)
+                if size >= AT_ONCE:
+                    count()
+                    size = 0
+                    if sums.full():
+                        yield from sums.batches()
+        count()
+        sums.most = 0
+        sums.full()
+        yield from sums.batches()
+
+    return chunks.select("lang", "symbols").mapInArrow(run, "lang string, a int, b int, n long")
+
+
+def _entries(chunks: DataFrame) -> DataFrame:
+    """(chunk, lang, a, b): the distinct pairs of each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, lang, raw in zip(*(batch.column(i) for i in range(3))):
+                symbols = np.frombuffer(raw.as_buffer(), np.int32)
+                at = np.flatnonzero((symbols[:-1] > 0) & (symbols[1:] > 0))
+                a, b, _ = pair_counts(symbols[at], symbols[at + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()] * len(a), pa.int64()), pa.array([lang.as_py()] * len(a), pa.string()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["chunk", "lang", "a", "b"])
+
+    return chunks.select("chunk", "lang", "symbols").mapInArrow(run, "chunk long, lang string, a int, b int")
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
@@ -146,9 +248,8 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     phrases, levels, last = None, [], None
     for level in range(1, longest + 1):
         names = ["a"] if level == 1 else ["a", "b"]
-        own = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip(*names, "n")).alias("at", "x"))
-        entries = own.select("chunk", "lang", F.col("at") + 1, "x.*").toDF("chunk", "lang", "at", *names, "n")
-        sums = entries.groupBy("lang", *names).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        rows = chunks.select("lang", F.inline(F.arrays_zip("a", "n"))) if level == 1 else _pairs(chunks)
+        sums = rows.groupBy("lang", *names).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         found = stash(sums, "frequent")
         frequent = ranked(found, "lang", [-F.col("f"), *names], "id").withColumn("id", (F.col("id") + 1).cast("int"))
         drop_stash(found)
@@ -162,10 +263,17 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
         levels.append(last)
         phrases = last if phrases is None else phrases.unionByName(last)
         if level < longest:
-            key = F.col("at").cast("long") if level == 1 else F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
-            known = broadcast_if_small(frequent.select("lang", *names, "id"), SMALL)
-            ids = entries.join(known, ["lang", *names]).groupBy("chunk").agg(F.collect_list(F.struct(key.alias("key"), "id")).alias("ids"))
-            new = _pairs(chunks, ids, level)
+            if frequent.count() <= SMALL:
+                table = docs.sparkSession.sparkContext.broadcast(_lookup(frequent, level))
+                new = _replaced(chunks, level, table)
+                table.destroy()
+            else:
+                if level == 1:
+                    entries = chunks.select("chunk", "lang", F.posexplode("a").alias("key", "a")).withColumn("key", F.col("key").cast("long") + 1)
+                else:
+                    entries = _entries(chunks).withColumn("key", _key())
+                found = entries.join(frequent.select("lang", *names, "id"), ["lang", *names])
+                new = _replaced(chunks, level, ids=found.groupBy("chunk").agg(F.collect_list(F.struct("key", "id")).alias("ids")))
             drop_stash(chunks)
             chunks = new
         drop_stash(frequent)

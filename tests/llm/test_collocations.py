@@ -84,3 +84,12 @@ def test_edges(spark):
     rows = [(1, "Same words here. " * 60, "en"), (1, "Same words here. " * 60, "en"), (2, "x y " * 200_000, None), (3, None, None), (4, "w" * 400_000 + " w", "en")]
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'in' as chunk", "1 as f", "2 as a", "3 as n", "4 as id", "5 as words", "6 as symbols", "7 as _g")
     assert sorted(map(tuple, C.collocations(docs).collect())) == plain(rows, 100, 5, 2000)
+
+
+def test_bounded_sums(spark, rows, monkeypatch):
+    """Tasks that may hold a few entries only hand on more rows, which Spark adds up."""
+    plain_pairs = C._pairs
+    monkeypatch.setattr(C, "_pairs", lambda chunks: plain_pairs(chunks, most=10))
+    monkeypatch.setattr(C, "AT_ONCE", 500)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    assert sorted(map(tuple, C.collocations(docs, least=20, chunk=1000).collect())) == plain(rows, 20, 5, 2000)
