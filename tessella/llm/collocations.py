@@ -248,7 +248,8 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     phrases, levels, last = None, [], None
     for level in range(1, longest + 1):
         names = ["a"] if level == 1 else ["a", "b"]
-        rows = chunks.select("lang", F.inline(F.arrays_zip("a", "n"))) if level == 1 else _pairs(chunks)
+        # pairs are added up in their tasks, so they are dealt at once, without another table of sums in the JVM
+        rows = chunks.select("lang", F.inline(F.arrays_zip("a", "n"))) if level == 1 else _pairs(chunks).repartition("lang", *names)
         sums = rows.groupBy("lang", *names).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         found = stash(sums, "frequent")
         frequent = ranked(found, "lang", [-F.col("f"), *names], "id").withColumn("id", (F.col("id") + 1).cast("int"))
