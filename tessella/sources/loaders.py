@@ -185,6 +185,21 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("_id string, title string, text string").json(path).withColumnRenamed("_id", "id")
 
 
+def read_claims(spark: SparkSession, claims: str, corpus: str) -> DataFrame:
+    """(id, claim, label, title, abstract, evidence): a row for each piece of evidence of each claim, from JSON lines of claims
+    (id, claim, evidence: abstract id to pieces of sentence numbers and a label) and of abstracts (doc_id, title, abstract: its
+    sentences). A claim without evidence has no row; a piece's missing abstract leaves nulls."""
+    kind = "id string, claim string, evidence map<string, array<struct<sentences: array<int>, label: string>>>"
+    rows = spark.read.schema(kind).json(claims).select("id", "claim", F.explode("evidence").alias("doc_id", "pieces"))
+    rows = rows.select("id", "claim", "doc_id", F.explode("pieces").alias("p"))
+    texts = spark.read.schema("doc_id string, title string, abstract array<string>").json(corpus)
+    found = rows.join(texts, "doc_id", "left")
+    found = found.withColumnRenamed("abstract", "_lines")
+    chosen = F.transform("p.sentences", lambda i: F.get("_lines", i))
+    name = F.concat_ws(":", "id", "doc_id", F.array_join("p.sentences", "-"))
+    return found.select(name.alias("id"), "claim", "p.label", "title", F.array_join("_lines", " ").alias("abstract"), F.array_join(chosen, " ").alias("evidence"))
+
+
 def squad_questions(spark: SparkSession, path: str) -> DataFrame:
     """(title, paragraph_no, context, id, question, answers) of a nested reading file."""
     schema = "data array<struct<title string, paragraphs array<struct<context string, qas array<struct<id string, question string, answers array<struct<text string>>>>>>>>"

@@ -11,7 +11,7 @@ from tessella.functions import citations as C
 from tessella.functions import text as T
 from tessella.functions.porter import stem
 from tessella.operators import index, retrieve
-from tessella.plans import ask_queries, evaluation_queries, library_queries, queries, report_queries  # noqa: F401  all fill the registry
+from tessella.plans import ask_queries, benchmark_queries, evaluation_queries, library_queries, queries, report_queries  # noqa: F401  all fill the registry
 from tessella.streaming import embed
 from tests.compare import TESTDATA, difference
 
