@@ -8,9 +8,14 @@ scored in overlapping windows. Every window goes through the classifier; there i
 The classifier is a multinomial logistic regression on the presence of word 1- to 3-grams. Its known classes are fitted
 on windows of the templates below, and "unknown" on single template words and on a bounded sample of the documents' own
 windows that share next to nothing with a template. A first fit leaves some templates out; on their windows, and on windows
-of the sample that it hasn't seen, a temperature is chosen that calibrates its probabilities. A prediction counts where its
-probability reaches ``least`` and a template of its family shares enough of its word pairs with the window, one of them
-a pair that only this family has. ``least`` is low as the temperature speaks for unseen wordings; the template decides.
+of the sample that it hasn't seen, a temperature is chosen that calibrates its probabilities. The same unseen windows give
+the bound of the unknown class: a window is taken for a licence where the calibrated probability that it isn't unknown is
+above what all but the share ``accepted`` of the sample's unseen windows have. Such a window's best family is confirmed where
+a template of it shares enough of its word pairs with the window, one of them a pair that only this family has, and where no
+negation stands before the grant.
+
+The clauses that all BSD licences share are a family of their own. In a document's result it stands for bsd-2-clause, unless
+the document has a clause or name of bsd-3-clause too.
 
 All steps are DataFrame expressions and Spark ML's transformers, which run in the JVM.
 
@@ -56,6 +61,7 @@ TEMPLATES = {
         "This project is licensed under the Apache License 2.0.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
+        "License :: OSI Approved :: Apache Software License",
     ],
     "artistic-2.0": [
         "This is free software, licensed under: The Artistic License 2.0 (GPL Compatible)",
@@ -67,14 +73,19 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software",
         "SPDX-License-Identifier: BSL-1.0",
     ],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "License :: OSI Approved :: BSD License",
+    ],
     "bsd-2-clause": [
         "Released under the BSD 2-Clause License.",
         "This project is licensed under the BSD 2-Clause Simplified License.",
         "SPDX-License-Identifier: BSD-2-Clause",
     ],
     "bsd-3-clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Released under the BSD 3-Clause License.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "SPDX-License-Identifier: BSD-3-Clause",
@@ -131,6 +142,8 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
+        "MIT License",
+        "License :: OSI Approved :: MIT License",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -171,15 +184,23 @@ TEMPLATES = {
     ],
 }
 CLASSES = sorted(TEMPLATES)
+#: The header that names a licence by its short identifier, and its other form.
+IDENTIFIER, HEADER = "SPDX-License-Identifier: ", "License: "
+#: A negation right before the grant.
+NEGATED = r"\b(?:not|never|no longer)(?: be| been| yet)? (?:licensed|released|distributed|dedicated|available)\b"
+#: The family of shared clauses: what it stands for, and what takes its place where both are found.
+SHARED, STANDS_FOR, STRONGER = "bsd", "bsd-2-clause", "bsd-3-clause"
 
 
 @dataclass(frozen=True)
 class Model:
-    """The vocabulary and weights of the fit on all templates, and the temperature found on those held out."""
+    """The vocabulary and weights of the fit on all templates; the temperature, and the least probability of not being unknown,
+    both found on windows held out."""
 
     vectors: CountVectorizerModel
     classifier: LogisticRegressionModel
     heat: float
+    least: float
 
 
 def words_of(text: Column) -> Column:
@@ -221,8 +242,13 @@ def _table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
+def all_templates() -> dict[str, list[str]]:
+    """The templates, and each short identifier in its other header."""
+    return {f: ts + [HEADER + t.removeprefix(IDENTIFIER) for t in ts if t.startswith(IDENTIFIER)] for f, ts in TEMPLATES.items()}
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    rows = [{"family": f, "n": i, "t": t} for f, ts in TEMPLATES.items() for i, t in enumerate(ts)]
+    rows = [{"family": f, "n": i, "t": t} for f, ts in all_templates().items() for i, t in enumerate(ts)]
     return _table(spark, rows, "family: string, n: int, t: string").withColumn("w", words_of(F.col("t"))).drop("t")
 
 
@@ -261,8 +287,9 @@ def template_pairs(spark: SparkSession) -> DataFrame:
     return flat.join(F.broadcast(owners), "gram")
 
 
-def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", iterations: int = 40, penalty: float = 0.0003, unknown_documents: int = 400, unknown_rows: int = 2000) -> Model:
-    """The model of the templates and of at most unknown_rows windows of about unknown_documents of docs."""
+def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", iterations: int = 40, penalty: float = 0.0003, unknown_documents: int = 400, unknown_rows: int = 2000, accepted: float = 0.01) -> Model:
+    """The model of the templates and of at most unknown_rows windows of about unknown_documents of docs; the share accepted of the
+    sample's unseen windows is above its bound."""
     spark = docs.sparkSession
     rows = template_windows(spark).unionByName(unknown_windows(docs, text, key, unknown_documents, unknown_rows))
     rows = stash(with_grams(rows.coalesce(1)), "licence-windows")
@@ -283,12 +310,15 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", iterations: in
 
     vectors, model = learn(rows.where("not held"))
     scored = model.transform(vectors.transform(rows.where("held"))).select(vector_to_array("rawPrediction").alias("z"), number.cast("int").alias("y"))
-    heats = stash(scored, "licence-held").withColumn("heat", F.explode(F.array(*[F.lit(x / 10) for x in (5, 6, 7, 8, 9, 10, 12, 15, 20, 30, 40)])))
+    unseen = stash(scored, "licence-held")
+    heats = unseen.withColumn("heat", F.explode(F.array(*[F.lit(x / 10) for x in (5, 6, 7, 8, 9, 10, 12, 15, 20, 30, 40)])))
     loss = -F.log(F.greatest(softmax("z", "heat")[F.col("y")], F.lit(1e-12)))
     heat = heats.select("heat", loss.alias("loss")).groupBy("heat").agg(F.sum("loss").alias("loss")).orderBy("loss", "heat").first()[0]
+    # a documents table without words leaves no sample: then it takes more than an even chance
+    strange = unseen.where(F.col("y") == CLASSES.index(UNKNOWN)).agg(F.percentile(not_unknown(F.lit(heat)), F.lit(1 - accepted))).first()[0]
     vectors, model = learn(rows)
-    drop_stash(rows)
-    return Model(vectors, model.setProbabilityCol(""), heat)
+    drop_stash(rows, unseen)
+    return Model(vectors, model.setProbabilityCol(""), heat, 0.5 if strange is None else strange)
 
 
 def softmax(z: str, heat: Column | str) -> Column:
@@ -299,22 +329,31 @@ def softmax(z: str, heat: Column | str) -> Column:
     return F.transform(powers, lambda x: x / total)
 
 
-def license_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = 0.05, shared: float = 0.6, model: Model | None = None) -> DataFrame:
-    """(key, line, family, probability, template_share, confirmed) of each window that the classifier gives a family."""
+def not_unknown(heat: Column) -> Column:
+    """Calibrated probability that a window (z) isn't of the unknown class."""
+    return 1 - softmax("z", heat)[CLASSES.index(UNKNOWN)]
+
+
+def license_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", shared: float = 0.6, model: Model | None = None) -> DataFrame:
+    """(key, line, family, probability, template_share, confirmed) of each window that the classifier doesn't take for unknown;
+    probability is that of not being unknown."""
     spark = docs.sparkSession
     model = model or fit(docs, text, key)
     scored = model.classifier.transform(model.vectors.transform(with_grams(document_windows(docs, text, key))))
-    scored = scored.where(F.col("prediction") != CLASSES.index(UNKNOWN))
-    scored = scored.select("id", "line", "w", F.get(F.array(*map(F.lit, CLASSES)), F.col("prediction").cast("int")).alias("family"), vector_to_array("rawPrediction").alias("z"))
+    scored = scored.select("id", "line", "w", vector_to_array("rawPrediction").alias("z")).withColumn("probability", not_unknown(F.lit(model.heat)))
+    scored = scored.where(F.col("probability") > model.least)
+    grants = F.array(*[F.struct(F.col("z")[i].alias("z"), F.lit(c).alias("f")) for i, c in enumerate(CLASSES) if c != UNKNOWN])
+    negated = F.array_join("w", " ").rlike(NEGATED)
+    scored = scored.select("id", "line", "w", F.array_max(grants)["f"].alias("family"), "probability", negated.alias("negated"))
     found = stash(scored.withColumn("uid", F.monotonically_increasing_id()), "licence-found")
     # share of a template's word pairs that the window holds, one of them at least its family's own
     own = found.select("uid", "family", F.explode(pairs_of(F.col("w"))).alias("gram"))
     hits = own.join(F.broadcast(template_pairs(spark)), ["family", "gram"])  # bounded by the templates
     hits = hits.groupBy("uid", "n", "size").agg(F.count("*").alias("hits"), F.max("own").alias("own")).where("own")
     share = hits.groupBy("uid").agg(F.max(F.col("hits") / F.col("size")).alias("template_share"))
-    out = found.select("uid", "id", "line", "family", F.array_max(softmax("z", F.lit(model.heat))).alias("probability")).join(share, "uid", "left")
+    out = found.select("uid", "id", "line", "family", "probability", "negated").join(share, "uid", "left")
     out = out.withColumn("template_share", F.coalesce("template_share", F.lit(0.0)))
-    known = (F.col("probability") >= least) & (F.col("template_share") >= shared)
+    known = ~F.col("negated") & (F.col("template_share") >= shared)
     return out.select(F.col("id").alias(key), "line", "family", "probability", "template_share", known.alias("confirmed"))
 
 
@@ -331,5 +370,7 @@ def license_scan(docs: DataFrame, text: str = "text", key: str = "doc_id", **opt
     )
     out = docs.select(key).join(stash(found, "licences"), F.col(key).eqNullSafe(F.col("_id")), "left")
     zero = F.lit(0).cast("bigint")
-    names = F.when(F.size("families") > 0, F.array_join("families", ","))
+    plain = F.transform("families", lambda f: F.when(f != SHARED, f).when(~F.array_contains("families", STRONGER), STANDS_FOR))
+    plain = F.array_sort(F.array_distinct(F.filter(plain, lambda f: f.isNotNull())))
+    names = F.when(F.size(plain) > 0, F.array_join(plain, ","))
     return out.select(key, F.coalesce("n_candidates", zero).alias("n_candidates"), F.coalesce("n_confirmed", zero).alias("n_confirmed"), names.alias("families"), F.round("probability", 4).alias("probability"))

@@ -160,7 +160,7 @@ def licence_windows(text: str | None, window: int = 64, step: int = 48, wrapped:
     return out
 
 
-def licences(text: str | None, vocabulary: dict, weights: np.ndarray, bias: np.ndarray, heat: float, classes: list, templates: dict) -> str | None:
+def licences(text: str | None, vocabulary: dict, weights: np.ndarray, bias: np.ndarray, heat: float, least: float, classes: list, templates: dict) -> str | None:
     """Families that the classifier gives a window and a template confirms."""
     pairs = lambda w: {" ".join(w[i : i + 2]) for i in range(max(1, len(w) - 1))}
     shapes = {f: [pairs(re.findall(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*", t.lower())) for t in ts] for f, ts in templates.items() if f != "unknown"}
@@ -169,10 +169,15 @@ def licences(text: str | None, vocabulary: dict, weights: np.ndarray, bias: np.n
     for w in licence_windows(text):
         grams = {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
         z = bias + sum((weights[:, vocabulary[g]] for g in grams if g in vocabulary), np.zeros(len(bias)))
-        family = classes[int(z.argmax())]
         odds = np.exp((z - z.max()) / heat)
-        if family != "unknown" and odds.max() / odds.sum() >= 0.05:
+        unknown = classes.index("unknown")
+        if 1 - odds[unknown] / odds.sum() > least and not re.search(r"\b(?:not|never|no longer)(?: be| been| yet)? (?:licensed|released|distributed|dedicated|available)\b", " ".join(w)):
+            family = max((z[i], c) for i, c in enumerate(classes) if c != "unknown")[1]
             own = pairs(w)
             if any(len(t & own) >= 0.6 * len(t) and any(owners[x] == 1 for x in t & own) for t in shapes[family]):
                 found.add(family)
+    if "bsd" in found:
+        found.remove("bsd")
+        if "bsd-3-clause" not in found:
+            found.add("bsd-2-clause")
     return ",".join(sorted(found)) or None
