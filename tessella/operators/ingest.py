@@ -152,7 +152,7 @@ def chunk_pages(pages: DataFrame, size: int = 400, overlap: int = 50, min_tokens
     segments = segments.withColumn("text", F.array_join(F.transform("x", lambda x: x["line"]), "\n")).where(trimmed(F.col("text")) != "")
     chunks = segments.select("doc_id", "page", "seg", "section", F.posexplode(split("text")).alias("part", "text"))
     chunks = chunks.withColumn("tokens", estimate_tokens(F.col("text")))
-    same = F.lower(F.regexp_replace("text", r"\s+", " "))
+    same = F.md5(F.lower(F.regexp_replace("text", r"\s+", " ")).cast("binary"))  # the key of the window, in place of the text
     first = Window.partitionBy("doc_id", same).orderBy("page", "seg", "part")
     ok = (F.col("tokens") >= min_tokens) & ~toc_like(F.col("text"))
     chunks = chunks.withColumn("ok", ok)

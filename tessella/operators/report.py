@@ -141,16 +141,19 @@ def model_rows(parts: DataFrame) -> DataFrame:
 
 def resolve_citations(cites: DataFrame, sources: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, name, page, doc_id, hits): where a clicked citation leads: the best source it points at, else a document
-    whose name begins like it, else the first source's document. docs are (doc_id, doc_name), a library's short list."""
+    whose name begins like it, else the first source's document, else the library's first. docs are (doc_id, doc_name) and, where
+    their order isn't that of their ids, pos."""
     cites = cites.withColumn("k", normalized_name(F.col("name")))
     hit = matched_citations(cites, sources).groupBy("query_id", "k", "page").agg(F.min_by("doc_id", F.struct("rank", "doc_id")).alias("hit"), F.count("*").alias("hits"))
     # equal beginnings are found by an equi join on each length that a name has
-    named = docs.select(F.col("doc_id").alias("d"), normalized_name(F.col("doc_name")).alias("dk")).where("dk <> ''")
+    place = F.struct("pos", "doc_id") if "pos" in docs.columns else F.struct("doc_id")
+    head = docs.agg(F.min_by("doc_id", place).alias("head"))  # one row
+    named = docs.select(F.col("doc_id").alias("d"), place.alias("o"), normalized_name(F.col("doc_name")).alias("dk")).where("dk <> ''")
     starts = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(c, F.lit(1), n)))
     own = cites.select("k").where("k <> ''").distinct()
-    shorter = own.select("k", starts(F.col("k")).alias("dk")).join(named, "dk").select("k", "d")
-    longer = named.select("d", starts(F.col("dk")).alias("k")).join(own, "k").select("k", "d")
-    name = shorter.unionByName(longer).groupBy("k").agg(F.min("d").alias("by_name"))
+    shorter = own.select("k", starts(F.col("k")).alias("dk")).join(named, "dk").select("k", "d", "o")
+    longer = named.select("d", "o", starts(F.col("dk")).alias("k")).join(own, "k").select("k", "d", "o")
+    name = shorter.unionByName(longer).groupBy("k").agg(F.min_by("d", "o").alias("by_name"))
     first = sources.groupBy("query_id").agg(F.min_by("doc_id", F.struct("rank", "doc_id")).alias("first"))
-    rows = cites.join(hit, ["query_id", "k", "page"], "left").join(name, "k", "left").join(first, "query_id", "left")
-    return rows.select("query_id", "name", "page", F.coalesce("hit", "by_name", "first").alias("doc_id"), F.coalesce("hits", F.lit(0)).alias("hits"))
+    rows = cites.join(hit, ["query_id", "k", "page"], "left").join(name, "k", "left").join(first, "query_id", "left").crossJoin(F.broadcast(head))
+    return rows.select("query_id", "name", "page", F.coalesce("hit", "by_name", "first", "head").alias("doc_id"), F.coalesce("hits", F.lit(0)).alias("hits"))

@@ -170,8 +170,13 @@ WITH s AS ({SIGNALS}), w AS (SELECT *, CASE WHEN groundedness IS NULL THEN 0 ELS
   + COALESCE(context_relevance / 5.0 * 0.1, 0) + COALESCE(relevance / 5.0, coverage) * 0.1 AS total FROM s),
 c AS (SELECT *, CASE WHEN fallback THEN 0.0 ELSE ROUND(total / weight, 6)::DOUBLE END AS score FROM w)
 SELECT query_id, score::DOUBLE AS score, CASE WHEN fallback THEN 'Low' WHEN score >= 0.8 THEN 'High' WHEN score >= 0.6 THEN 'Medium' ELSE 'Low' END AS level,
-  CASE WHEN fallback THEN 1 ELSE (precision IS NULL)::INTEGER + (unsupported > 0)::INTEGER + (invalid > 0)::INTEGER + (misattributed > 0)::INTEGER
-    + COALESCE(groundedness <= 3, FALSE)::INTEGER + (cosine < 0.75)::INTEGER END::INTEGER AS n_reasons FROM c""")
+  CASE WHEN fallback THEN 'No answer was found in the sources.' ELSE array_to_string(list_filter([
+    CASE WHEN precision IS NULL THEN 'The answer cites nothing.' END,
+    CASE WHEN unsupported > 0 THEN unsupported || ' claim(s) have no support in the sources.' END,
+    CASE WHEN invalid > 0 THEN invalid || ' citation(s) name a page that is no source.' END,
+    CASE WHEN misattributed > 0 THEN misattributed || ' claim(s) cite a source without their content.' END,
+    CASE WHEN groundedness <= 3 THEN 'The judge''s groundedness is ' || groundedness || ' of 5.' END,
+    CASE WHEN cosine < 0.75 THEN 'No source is close to the question.' END], lambda x: x IS NOT NULL), '|') END AS reasons FROM c""")
 def confidence(spark, sf_dir):
     """Confidence of signals made from the event ids, each present for some rows only."""
     e = F.col("event_id")
@@ -192,7 +197,7 @@ def confidence(spark, sf_dir):
         (e % 13 == 0).alias("fallback"),
         of(20, 20).alias("cosine"),
     )
-    return evaluate.confidence(rows).select("query_id", "score", "level", F.size("reasons").alias("n_reasons"))
+    return evaluate.confidence(rows).select("query_id", "score", "level", F.array_join("reasons", "|").alias("reasons"))
 
 
 @query()
@@ -266,14 +271,14 @@ def ndcg_at_10(spark, sf_dir):
     return measure.ranking_metrics(vector_ranking(spark, sf_dir), label_qrels(spark, sf_dir), 10)
 
 
-@query(RANKED + " SELECT query_id, (found > 0)::INTEGER AS hit, ROUND(COALESCE(1.0::DOUBLE / first, 0), 6) AS rr, first::INTEGER AS first_rank FROM m")
+@query(RANKED + " SELECT query_id, (found > 0)::INTEGER AS hit, (found > 0)::INTEGER::DOUBLE AS recall, ROUND(COALESCE(1.0::DOUBLE / first, 0), 6) AS rr, first::INTEGER AS first_rank FROM m")
 def hit_recall_mrr(spark, sf_dir):
     """Expected pages are the labels, so a source of the same label answers; every page is expected once."""
     found = retrieve.cosine_candidates(vector_table(spark, sf_dir), vector_queries(spark, sf_dir), 10)
     sources = found.select("query_id", "doc_id", F.col("doc_id").cast("string").alias("doc_name"), F.col("doc_id").cast("int").alias("page"), "rank", F.lit(False).alias("neighbor"))
     own = vector_queries(spark, sf_dir).select("query_id").join(table(spark, sf_dir, "embeddings"), F.col("query_id") == F.col("vec_id"))
     expected = own.select("query_id", F.lit("").alias("name"), F.col("label").cast("int").alias("page"))
-    return evaluate.retrieval_accuracy(sources, expected).select("query_id", "hit", "rr", "first_rank")
+    return evaluate.retrieval_accuracy(sources, expected)
 
 
 @query(f"""

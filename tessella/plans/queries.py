@@ -179,7 +179,7 @@ def normalized_lines(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, list_reduce(list_prepend(2166136261::UBIGINT, [unicode(c)::UBIGINT FOR c IN string_split(left(url_key, 80), '')]),
+SELECT doc_id, list_reduce(list_prepend(2166136261::UBIGINT, [unicode(c)::UBIGINT FOR c IN string_split(url_key, '')]),
   lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT AS h,
   CASE WHEN list_reduce(list_prepend(2166136261::UBIGINT, [unicode(c)::UBIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
   lambda h, c: (xor(h, c) * 16777619) % 4294967296) % 2 = 0 THEN 'A' ELSE 'B' END AS half
