@@ -2,10 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last return the
 columns of documents. run() writes each stage's result as Parquet in the shared folder and reads it again.
+
+Defined cases: a null text is an empty one; it fails the base rules, as do texts of fewer than 20 words. Texts of any length
+are used whole. Rows that share a doc_id are judged one by one by the first two stages; the third keeps one row of each
+doc_id. Rows without a doc_id pass it, as no group can name them. An empty table gives an empty result of each stage.
+Further columns of documents, whatever their names, come out of the first three stages as they went in.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +21,20 @@ from tessella.llm.queries import word_bpe
 from tessella.llm.shared import stash
 
 
+#: The columns that stages read.
+READ = ("doc_id", "text", "lang", "source")
+
+
+def beside(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """stage's rows of docs with docs' own columns: those that it doesn't read are out of reach of its results' names."""
+    names = {c: f"_in{i}" for i, c in enumerate(docs.columns) if c not in READ}
+    out = stage(docs.withColumnsRenamed(names))
+    return out.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
+
+
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and their group's covariance estimate accept."""
-    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    return beside(docs, lambda rows: quality_rules.quality_rules(rows).where("kept"))
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
