@@ -161,9 +161,10 @@ def fit(
         return Model(np.zeros(SIZE), 0.0, 0.0, math.log(share / (1 - share)))
     counts = fitted.select(F.explode("f").alias("f"), "_y").groupBy("f").agg(F.sum("_y").alias("p"), F.count("*").alias("n"))
     p, q = np.full(SIZE, smoothing), np.full(SIZE, smoothing)
-    for f, positive, total in counts.collect():  # at most SIZE rows
-        p[f] += positive
-        q[f] += total - positive
+    found = counts.toArrow()  # at most SIZE rows, one a feature
+    f, positive, total = (found[c].to_numpy() for c in ("f", "p", "n"))
+    p[f] += positive
+    q[f] += total - positive
     ratios = np.log((p / p.sum()) / (q / q.sum()))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import license_scan, near_dedup, quality_rules, queries
 from tests.compare import TESTDATA, difference
@@ -227,3 +228,20 @@ def test_pipeline(spark, tokenizer):
     check_packing(rows, lambda i: tokenizer.encode(texts[i], add_special_tokens=False).ids)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_pipeline_keeps_the_columns_of_documents(spark):
+    """Columns named like a stage's own results, null and empty texts, repeated rows, rows without an id, an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    own = {c: F.lit("mine") for c in ("n_words", "kept", "component_id", "score", "distance", "m0", "held_out", "base_failed", "_g")}
+    docs = table.unionByName(table.limit(3)).unionByName(table.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    docs = docs.unionByName(table.limit(2).withColumns({"doc_id": F.col("doc_id") + 10**6, "text": F.lit(None).cast("string")})).withColumns(own)
+    plain, kept = table, docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, kept = stage(spark, plain, SF), stage(spark, kept, SF)
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert all(r[c] == "mine" for r in rows for c in own) and all(r.text is not None for r in rows)
+        assert len(rows) >= plain.count() > 0
+    assert corpus_pipeline.STAGES[0][1](spark, docs.where("false"), SF).count() == 0
