@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.shared import broadcast_if_small, drop_stash, ranked, stash
-from tessella.llm.wordhash import texts
+from tessella.llm.wordhash import mix, texts
 from tessella.llm.words import LOWER, byte_set, spans
 
 #: Bytes between words, and bytes between the pieces that a phrase can't cross.
@@ -40,7 +40,7 @@ SPACE, BREAK = byte_set([0x20, 0x09]), byte_set([*map(ord, ".,;:!?"), *range(0x0
 #: Bytes of text in a chunk: its row is small for the JVM.
 CHUNK = 256 << 10
 #: Ids in a tile's side; pairs from which a tile is dense; pairs that a task counts at once.
-SIDE, DENSE, AT_ONCE = 1024, 1 << 16, 1 << 20
+SIDE, DENSE, AT_ONCE = 1024, 1 << 16, 1 << 18
 #: Entries of a level that may go to every task; more are joined by their keys.
 SMALL = 1_000_000
 
@@ -80,27 +80,64 @@ def pair_counts(a: np.ndarray, b: np.ndarray, side: int = SIDE, dense: int = DEN
     return x + 1, y + 1, n
 
 
-def _words(docs: DataFrame, text: str, lang: str, chunk: int) -> DataFrame:
-    """The chunks of the words level: lang, symbols, and arrays a (words) and n (counts)."""
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
+def _texts(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
+    """(language as a column of one row, symbols, words) of chunks of texts of one language; batches: lang, text."""
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        code = langs.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        column, code = batch.column(1).take(pa.array(order)), code[order]
+        cuts = np.flatnonzero(np.diff(code, prepend=-1))
+        for i, j in zip(cuts, [*cuts[1:], len(code)]):
+            for _, data, offsets in texts(column.slice(i, j - i), chunk):
+                symbols, words = word_codes(data, offsets)
+                yield langs.dictionary.take(pa.array([code[i]])), symbols, words.cast(pa.large_string()).cast(pa.string())
+
+
+def squeezed(symbols: np.ndarray) -> np.ndarray:
+    """symbols with one 0 for each run of them: who stands next to whom stays."""
+    keep = symbols != 0
+    keep[1:] |= symbols[:-1] != 0
+    return symbols[keep]
+
+
+def _rows(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
+
+
+def _word_counts(rows: DataFrame, chunk: int) -> DataFrame:
+    """(lang, a, n): words and their counts, a row for each word of each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch.column(0).dictionary_encode()
-            code = langs.indices.to_numpy(zero_copy_only=False)
-            order = np.argsort(code, kind="stable")
-            column, code = batch.column(1).take(pa.array(order)), code[order]
-            cuts = np.flatnonzero(np.diff(code, prepend=-1))
-            for i, j in zip(cuts, [*cuts[1:], len(code)]):
-                for _, data, offsets in texts(column.slice(i, j - i), chunk):
-                    symbols, words = word_codes(data, offsets)
-                    n = np.bincount(symbols, minlength=len(words) + 1)[1:]
-                    yield pa.RecordBatch.from_arrays(
-                        [langs.dictionary.take(pa.array([code[i]])), pa.array([symbols.tobytes()], pa.binary()), _lists(words.cast(pa.large_string()).cast(pa.string())), _lists(pa.array(n, pa.int64()))],
-                        ["lang", "symbols", "a", "n"],
-                    )
-
-    found = rows.mapInArrow(run, "lang string, symbols binary, a array<string>, n array<long>")
+        for lang, symbols, words in _texts(batches, chunk):
+            n = np.bincount(symbols, minlength=len(words) + 1)[1:]
+            yield pa.RecordBatch.from_arrays([lang.take(pa.array(np.zeros(len(words), np.int64))), words, pa.array(n, pa.int64())], ["lang", "a", "n"])
+
+    return rows.mapInArrow(run, "lang string, a string, n long")
+
+
+def _coded(rows: DataFrame, chunk: int, table: Broadcast) -> DataFrame:
+    """The chunks of the words level (chunk, lang, symbols), stashed: ids from the table (_lookup), 0 for other words and between
+    pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, symbols, words in _texts(batches, chunk):
+            places = pc.index_in(words, table.value.get(lang[0].as_py(), pa.array([], pa.string())))
+            ids = np.zeros(len(words) + 1, np.int32)
+            ids[1:] = pc.add(places, 1).fill_null(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([lang, pa.array([squeezed(ids[symbols]).tobytes()], pa.binary())], ["lang", "symbols"])
+
+    return stash(rows.mapInArrow(run, "lang string, symbols binary").withColumn("chunk", F.monotonically_increasing_id()), "symbols")
+
+
+def _words(rows: DataFrame, chunk: int) -> DataFrame:
+    """(chunk, lang, symbols, a), stashed: symbols are places in a, the chunk's words, from 1 on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, symbols, words in _texts(batches, chunk):
+            yield pa.RecordBatch.from_arrays([lang, pa.array([symbols.tobytes()], pa.binary()), _lists(words)], ["lang", "symbols", "a"])
+
+    found = rows.mapInArrow(run, "lang string, symbols binary, a array<string>")
     return stash(found.withColumn("chunk", F.monotonically_increasing_id()), "words")
 
 
@@ -128,23 +165,19 @@ def _replaced(chunks: DataFrame, level: int, table: Broadcast | None = None, ids
     """The chunks of the next level, stashed: symbols are ids of frequent phrases of ``level`` words by their first word's place
     (0: none). Ids come from the table (_lookup) or from rows (chunk, ids: array of key and id)."""
 
-    def known(lang: str, words, own) -> tuple[np.ndarray, np.ndarray]:
-        if own is not None:
-            keys, new = (own.values.field(k).to_numpy(zero_copy_only=False) for k in ("key", "id"))
-            order = np.argsort(keys)
-            return keys[order], new[order]
-        if level > 1:
+    def known(lang: str, own) -> tuple[np.ndarray, np.ndarray]:
+        if own is None:
             return table.value.get(lang, (np.zeros(0, np.int64), np.zeros(0, np.int32)))
-        places = pc.index_in(words.values, table.value.get(lang, pa.array([], pa.string())))
-        hit = np.flatnonzero(places.is_valid().to_numpy(zero_copy_only=False))
-        return hit + 1, places.fill_null(0).to_numpy(zero_copy_only=False)[hit] + 1
+        keys, new = (own.values.field(k).to_numpy(zero_copy_only=False) for k in ("key", "id"))
+        order = np.argsort(keys)
+        return keys[order], new[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = {c: batch.column(c) for c in batch.schema.names}
             for i in range(len(batch)):
                 old = np.frombuffer(columns["symbols"][i].as_buffer(), np.int32)
-                keys, new = known(columns["lang"][i].as_py(), *(columns[c][i] if c in columns else None for c in ("a", "ids")))
+                keys, new = known(columns["lang"][i].as_py(), columns["ids"][i] if "ids" in columns else None)
                 if level == 1:
                     codes = np.zeros(int(old.max(initial=0)) + 1, np.int32)
                     codes[keys] = new
@@ -156,9 +189,10 @@ def _replaced(chunks: DataFrame, level: int, table: Broadcast | None = None, ids
                     place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
                     hit = keys[place] == key
                     symbols[at[hit]] = new[place[hit]]
-                yield pa.RecordBatch.from_arrays([columns["chunk"].slice(i, 1), columns["lang"].slice(i, 1), pa.array([symbols.tobytes()], pa.binary())], ["chunk", "lang", "symbols"])
+                yield pa.RecordBatch.from_arrays([columns["chunk"].slice(i, 1), columns["lang"].slice(i, 1), pa.array([squeezed(symbols).tobytes()], pa.binary())], ["chunk", "lang", "symbols"])
 
-    rows = chunks.select("chunk", "lang", "symbols").join(ids, "chunk") if ids is not None else chunks.select("chunk", "lang", "symbols", *(["a"] if level == 1 else []))
+    rows = chunks.select("chunk", "lang", "symbols")
+    rows = rows.join(ids, "chunk") if ids is not None else rows
     return stash(rows.mapInArrow(run, "chunk long, lang string, symbols binary"), "symbols")
 
 
@@ -166,36 +200,52 @@ class Sums:
     """Counts of pairs by language, added up in sorted arrays of bounded size."""
 
     def __init__(self, most: int):
-        self.most, self.parts, self.size = most, {}, 0
+        self.most, self.parts, self.size, self.kept = most, {}, 0, 0
 
     def add(self, lang: str, keys: np.ndarray, n: np.ndarray) -> None:
         self.parts.setdefault(lang, []).append((keys, n))
         self.size += len(keys)
 
+    def merge(self) -> None:
+        """Add up the entries of equal pairs."""
+        for lang, parts in self.parts.items():
+            keys, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            self.parts[lang] = [(keys[first], np.add.reduceat(n, first))] if len(keys) else []
+        self.size = sum(len(k) for parts in self.parts.values() for k, _ in parts)
+
     def full(self) -> bool:
         """Whether there are too many entries, after equal ones have been added up."""
-        if self.size > self.most:
-            for lang, parts in self.parts.items():
-                keys, n = (np.concatenate(x) for x in zip(*parts))
-                order = np.argsort(keys, kind="stable")
-                keys, n = keys[order], n[order]
-                first = np.flatnonzero(np.diff(keys, prepend=-1))
-                self.parts[lang] = [(keys[first], np.add.reduceat(n, first))] if len(keys) else []
-            self.size = sum(len(k) for parts in self.parts.values() for k, _ in parts)
+        if self.size > max(self.most, 2 * self.kept):
+            self.merge()
+            self.kept = self.size
         return self.size > self.most // 2
 
-    def batches(self, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
-        for lang, parts in self.parts.items():
-            for keys, n in parts:
-                for i in range(0, len(keys), rows):
-                    own = keys[i : i + rows]
-                    columns = [pa.array([lang] * len(own), pa.string()), pa.array((own >> 32).astype(np.int32)), pa.array((own & 0xFFFFFFFF).astype(np.int32)), pa.array(n[i : i + rows])]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "a", "b", "n"])
-        self.parts, self.size = {}, 0
-
-
-def _pairs(chunks: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """(lang, a, b, n): how often phrase b begins a word after phrase a, added up within each task as far as memory allows."""
+    def rows(self, parts: int) -> Iterator[pa.RecordBatch]:
+        """(lang, part, keys, n): the sums so far, dealt to parts by a hash of their keys, each part's in two byte strings."""
+        for lang, own in self.parts.items():
+            if not own:
+                continue
+            keys, n = (np.concatenate(x) for x in zip(*own))
+            part = (mix(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            keys, n, part = keys[order], n[order], part[order]
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = np.append(first[1:], len(part))
+            blobs = [pa.array([x[i:j].tobytes() for i, j in zip(first, ends)], pa.binary()) for x in (keys, n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), pa.array(part[first].astype(np.int32)), *blobs], ["lang", "part", "keys", "n"])
+        self.parts, self.size, self.kept = {}, 0, 0
+
+
+def _pairs(chunks: DataFrame, least: int, most: int = 1_000_000) -> DataFrame:
+    """(lang, a, b, f): phrase b begins a word after phrase a f times, ``least`` or more.
+
+    A task adds up its pairs as far as ``most`` allows and deals them to as many parts as there are shuffle partitions, by a
+    hash of the pair, so frequent pairs don't meet in one part; a part's sums are added up where they arrive, and only frequent
+    ones leave Python."""
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, waiting, size = Sums(most), {}, 0
@@ -216,13 +266,27 @@ def _pairs(chunks: DataFrame, most: int = 2_000_000) -> DataFrame:
                     count()
                     size = 0
                     if sums.full():
-                        yield from sums.batches()
+                        yield from sums.rows(parts)
         count()
-        sums.most = 0
-        sums.full()
-        yield from sums.batches()
+        sums.merge()
+        yield from sums.rows(parts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums(most)
+        for batch in batches:
+            for lang, keys, n in zip(*(batch.column(i) for i in (0, 2, 3))):
+                sums.add(lang.as_py(), *(np.frombuffer(x.as_buffer(), np.int64) for x in (keys, n)))
+                sums.full()
+        sums.merge()
+        for lang, own in sums.parts.items():
+            for keys, n in own:
+                hit = n >= least
+                keys = keys[hit]
+                columns = [pa.array([lang] * len(keys), pa.string()), pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n[hit])]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "a", "b", "f"])
 
-    return chunks.select("lang", "symbols").mapInArrow(run, "lang string, a int, b int, n long")
+    dealt = chunks.select("lang", "symbols").mapInArrow(run, "lang string, part int, keys binary, n binary")
+    return dealt.repartition(parts, "lang", "part").mapInArrow(add, "lang string, a int, b int, f long")
 
 
 def _entries(chunks: DataFrame) -> DataFrame:
@@ -242,15 +306,13 @@ def _entries(chunks: DataFrame) -> DataFrame:
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to ``longest`` words that occur ``least`` times in their language: (lang, words, f), and the number of
     words of each language: (lang, n). Both are stashed."""
-    chunks = _words(docs, text, lang, chunk)
-    totals = chunks.select("lang", F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))
-    totals = stash(totals.groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
+    rows, chunks = _rows(docs, text, lang), None
+    words = stash(_word_counts(rows, 16 * chunk).groupBy("lang", "a").agg(F.sum("n").alias("f")), "word-counts")
+    totals = stash(words.groupBy("lang").agg(F.sum("f").alias("n")), "word-totals")
     phrases, levels, last = None, [], None
     for level in range(1, longest + 1):
         names = ["a"] if level == 1 else ["a", "b"]
-        # pairs are added up in their tasks, so they are dealt at once, without another table of sums in the JVM
-        rows = chunks.select("lang", F.inline(F.arrays_zip("a", "n"))) if level == 1 else _pairs(chunks).repartition("lang", *names)
-        sums = rows.groupBy("lang", *names).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        sums = words.where(F.col("f") >= least) if level == 1 else _pairs(chunks, least)
         found = stash(sums, "frequent")
         frequent = ranked(found, "lang", [-F.col("f"), *names], "id").withColumn("id", (F.col("id") + 1).cast("int"))
         drop_stash(found)
@@ -264,21 +326,22 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
         levels.append(last)
         phrases = last if phrases is None else phrases.unionByName(last)
         if level < longest:
+            old = chunks
             if frequent.count() <= SMALL:
                 table = docs.sparkSession.sparkContext.broadcast(_lookup(frequent, level))
-                new = _replaced(chunks, level, table)
+                chunks = _coded(rows, chunk, table) if level == 1 else _replaced(old, level, table)
                 table.destroy()
             else:
                 if level == 1:
-                    entries = chunks.select("chunk", "lang", F.posexplode("a").alias("key", "a")).withColumn("key", F.col("key").cast("long") + 1)
+                    old = _words(rows, chunk)
+                    entries = old.select("chunk", "lang", F.posexplode("a").alias("key", "a")).withColumn("key", F.col("key").cast("long") + 1)
                 else:
-                    entries = _entries(chunks).withColumn("key", _key())
+                    entries = _entries(old).withColumn("key", _key())
                 found = entries.join(frequent.select("lang", *names, "id"), ["lang", *names])
-                new = _replaced(chunks, level, ids=found.groupBy("chunk").agg(F.collect_list(F.struct("key", "id")).alias("ids")))
-            drop_stash(chunks)
-            chunks = new
+                chunks = _replaced(old, level, ids=found.groupBy("chunk").agg(F.collect_list(F.struct("key", "id")).alias("ids")))
+            drop_stash(*([old] if old is not None else []))
         drop_stash(frequent)
-    drop_stash(chunks)
+    drop_stash(words, *([chunks] if chunks is not None else []))
     out = stash(phrases.select("lang", "words", "f"), "all-phrases")
     drop_stash(*levels)
     return out, totals

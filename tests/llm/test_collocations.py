@@ -89,7 +89,7 @@ def test_edges(spark):
 def test_bounded_sums(spark, rows, monkeypatch):
     """Tasks that may hold a few entries only hand on more rows, which Spark adds up."""
     plain_pairs = C._pairs
-    monkeypatch.setattr(C, "_pairs", lambda chunks: plain_pairs(chunks, most=10))
+    monkeypatch.setattr(C, "_pairs", lambda chunks, least: plain_pairs(chunks, least, most=10))
     monkeypatch.setattr(C, "AT_ONCE", 500)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
     assert sorted(map(tuple, C.collocations(docs, least=20, chunk=1000).collect())) == plain(rows, 20, 5, 2000)
