@@ -330,8 +330,9 @@ def softmax(z: str, heat: Column | str) -> Column:
 
 
 def not_unknown(heat: Column) -> Column:
-    """Calibrated probability that a window (z) isn't of the unknown class."""
-    return 1 - softmax("z", heat)[CLASSES.index(UNKNOWN)]
+    """Calibrated probability that a window (z) isn't of the unknown class, in one pass over the classes."""
+    own = F.col("z")[CLASSES.index(UNKNOWN)]
+    return 1 - 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp((x - own) / heat))
 
 
 def license_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", shared: float = 0.6, model: Model | None = None) -> DataFrame:
