@@ -330,9 +330,11 @@ def softmax(z: str, heat: Column | str) -> Column:
 
 
 def not_unknown(heat: Column) -> Column:
-    """Calibrated probability that a window (z) isn't of the unknown class, in one pass over the classes."""
-    own = F.col("z")[CLASSES.index(UNKNOWN)]
-    return 1 - 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp((x - own) / heat))
+    """Calibrated probability that a window (z) isn't of the unknown class, in one pass over the classes. z is bound to a variable, as
+    Spark would otherwise score the window again for each class."""
+    unknown = CLASSES.index(UNKNOWN)
+    total = lambda z: F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp((x - z[unknown]) / heat))
+    return F.transform(F.array("z"), lambda z: 1 - 1 / total(z))[0]
 
 
 def license_paragraphs(docs: DataFrame, text: str = "text", key: str = "doc_id", shared: float = 0.6, model: Model | None = None) -> DataFrame:
