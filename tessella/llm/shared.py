@@ -18,12 +18,21 @@ def broadcast_if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def with_minimum(edges: DataFrame, low: DataFrame) -> DataFrame:
-    """edges (u, v) with their u's m of low (u, m, n). Rows of an id with many links don't meet in one task: such ids are
-    few (at most one for HOT links), and their small table joins apart."""
-    hot = low.where(F.col("n") > HOT).select("u", "m")
-    rest = low.where(F.col("n") <= HOT).select("u", "m")
-    return edges.join(hot, "u").unionByName(edges.join(hot, "u", "left_anti").join(rest, "u"))
+def with_minimum(edges: DataFrame, low: DataFrame, hot: bool = True) -> DataFrame:
+    """edges (u, v) with their u's m of low (u, m, n). Rows of an id with many links don't meet in one task: where there are
+    such ids (hot), they are few (at most one for HOT links), and their small table joins apart."""
+    if not hot:
+        return edges.join(low.select("u", "m").hint("merge"), "u")
+    few = low.where(F.col("n") > HOT).select("u", "m")
+    rest = low.where(F.col("n") <= HOT).select("u", "m").hint("merge")
+    return edges.join(few, "u").unionByName(edges.join(few, "u", "left_anti").join(rest, "u"))
+
+
+def _minima(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """The stashed table (u, m, n) of each u's smallest v and number of links, and whether a u has more than HOT."""
+    seen = Observation()
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return stash(low.observe(seen, F.max("n").alias("most")), "minima"), (seen.get["most"] or 0) > HOT
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -31,22 +40,24 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     id that can be reached. Ids without a link to another id aren't returned.
 
     Alternates large-star and small-star steps (both are a grouped minimum and a join), so the number of rounds
-    grows with the logarithm of the longest path. Links stay in Spark; each round's table is written to the shared
-    folder, and only its counts come to the driver. Hot ids are pre-aggregated in the minimum and joined apart. Links
-    that already are stars (id, component_id) need no round.
+    grows with the logarithm of the longest path. Links stay in Spark; each step's table is written to the shared
+    folder, so that no plan holds a step twice, and only counts come to the driver. Hot ids are pre-aggregated in the
+    minimum and joined apart. Links that already are stars (id, component_id) need no round.
     """
     found = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges, last = _observed(found)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        low, hot = _minima(both)
         # v > u >= m holds for each row, so the links are oriented from the larger to the smaller id
-        large = with_minimum(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = with_minimum(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new, now = _observed(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        drop_stash(edges)
-        edges = new
+        least = low.select("u", F.least("u", "m").alias("m"), "n")
+        large = with_minimum(both.where("v > u"), least, hot).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stash(large, "links")
+        drop_stash(low, edges)
+        low, hot = _minima(large)
+        small = with_minimum(large, low, hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges, now = _observed(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        drop_stash(low, large)
         if now == last:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(
                 edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
