@@ -38,19 +38,19 @@ def add_documents(catalog: Catalog, docs: DataFrame, chunks: DataFrame, members:
     collections (collection_id, doc_id): one version."""
     base = catalog.manifest()
     _present(catalog, base, docs)
-    counts = stash(index.term_counts(chunks, F.concat_ws("\n", "section", "text")), "term-counts")
+    counts = index.chunk_terms(chunks, F.concat_ws("\n", "section", "text"))
     if "buckets" not in base.settings:
-        buckets = min(4096, max(16, math.ceil(counts.count() / BUCKET_ROWS)))
+        buckets = min(4096, max(16, math.ceil(index.posting_count(counts) / BUCKET_ROWS)))
         base = replace(base, settings=base.settings | {"buckets": buckets})
-    lengths = index.chunk_lengths(chunks, counts)
-    postings = index.posting_rows(counts, lengths, int(base.settings["buckets"]))
+    lengths = index.chunk_lengths(counts)
+    postings = index.posting_rows(counts, int(base.settings["buckets"]))
     new = catalog.append(base, "docs", docs)
     new = catalog.append(new, "chunks", chunks)
     if members is not None:
         new = catalog.append(new, "members", members.select("collection_id", "doc_id").distinct())
     new = catalog.append(new, "lengths", lengths)
     new = catalog.append(new, "postings", postings, "bucket")
-    new = catalog.append(new, "terms", counts.groupBy("term").agg(F.count("*").alias("df")))
+    new = catalog.append(new, "terms", index.term_frequencies(counts))
     new = catalog.append(new, "sizes", lengths.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("dl").alias("total")))
     new = catalog.commit(new)
     drop_stash(counts)
