@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.text import sentences, unmarked
 from tessella.operators import measure
+from tessella.operators.rows import broadcast_if_small
+from tessella.sources.stash import stash
 
-#: Letters of an answer by which the paragraphs that may hold it are found.
+#: Letters of an answer by which it is looked for in a paragraph.
 GRAM = 4
 
 
@@ -28,32 +34,45 @@ def answer_f1(predicted: DataFrame, golds: DataFrame) -> DataFrame:
     return measure.token_f1(predicted.select("query_id", words), golds.select("query_id", "gold_no", words))
 
 
-def swap_picks(questions: DataFrame, most: int = 40) -> DataFrame:
+def swap_picks(questions: DataFrame, most: int = 40, block: int = 256) -> DataFrame:
     """questions (title, paragraph_no, question_no, id, context, answer) with kind and other: an answer of the same kind (number
     or name) of the same article that the question's own paragraph doesn't hold, picked by paragraph and question number. Rows
     without any are left out.
 
-    The pool of a question is its article's short answers in order without those in its paragraph. Instead of the pool itself
-    its size and the ranks that are left out are found, by an equi join of the answers' first letters with the paragraphs'
-    letter groups; the pick's rank in the whole list follows, and one more equi join gives the answer."""
-    rows = questions.withColumn("kind", F.when(F.col("answer").rlike("[0-9]"), "number").otherwise("name"))
-    order = Window.partitionBy("title", "kind").orderBy("paragraph_no", "question_no", "id")
-    short = rows.where(F.length("answer") < most).withColumn("r", F.row_number().over(order) - 1).select("title", "kind", "r", "answer")
-    sizes = short.groupBy("title", "kind").agg(F.count("*").alias("n"))
-    paragraphs = rows.select("title", "paragraph_no", "context").distinct()
-    pieces = paragraphs.select("title", "paragraph_no", F.split("context", "").alias("_c"))
-    starts = F.transform("_c", lambda x, i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: F.array_join(F.slice("_c", i + 1, k), "")))
-    pieces = pieces.select("title", "paragraph_no", F.explode(F.array_distinct(F.flatten(starts))).alias("g"))
-    held = pieces.join(short.select("title", "kind", "r", "answer", F.substring("answer", 1, GRAM).alias("g")), ["title", "g"])
-    held = held.join(paragraphs, ["title", "paragraph_no"]).where(F.contains("context", "answer"))
-    left_out = held.groupBy("title", "paragraph_no", "kind").agg(F.sort_array(F.collect_set("r")).alias("out"))
-    rows = rows.join(sizes, ["title", "kind"]).join(left_out, ["title", "paragraph_no", "kind"], "left")
-    rows = rows.withColumn("out", F.coalesce("out", F.array().cast("array<int>")))
-    rows = rows.withColumn("pool", F.col("n") - F.size("out")).where("pool > 0")
-    start = (F.col("paragraph_no") * 7 + F.col("question_no") * 13) % F.col("pool")
-    # each rank that is left out at or before the pick moves it on by one
-    rows = rows.withColumn("r", F.aggregate("out", start.cast("int"), lambda r, x: F.when(x <= r, r + 1).otherwise(r)))
-    return rows.join(short.withColumnRenamed("answer", "other"), ["title", "kind", "r"]).drop("n", "out", "pool", "r")
+    The pool of a question is its article's short answers in order without those in its paragraph. An article's questions are
+    dealt into blocks of about ``block``; each block gets the article's short answers of its kind, a few bytes each."""
+    rows = questions.where("title is not null").withColumn("kind", F.when(F.col("answer").rlike("[0-9]"), "number").otherwise("name"))
+    rows = stash(rows, "questions")
+    sizes = stash(rows.groupBy("title", "kind").agg(F.ceil(F.count("*") / block).cast("int").alias("_n")), "question-sizes")
+    asked = rows.join(broadcast_if_small(sizes), ["title", "kind"])
+    asked = asked.select(*rows.columns, F.pmod(F.xxhash64("paragraph_no"), F.col("_n")).cast("int").alias("_b"), F.lit(True).alias("_ask"))
+    short = rows.where(F.length("answer") < most).select("title", "kind", "paragraph_no", "question_no", "id", "answer")
+    short = short.join(broadcast_if_small(sizes), ["title", "kind"]).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    units = asked.unionByName(short.withColumn("_ask", F.lit(False)), allowMissingColumns=True)
+    columns = rows.columns
+
+    def pick(table: pa.Table) -> pa.Table:
+        pool = table.filter(pc.invert(table["_ask"])).select(["paragraph_no", "question_no", "id", "answer"])
+        answers = pool.sort_by([(c, "ascending") for c in ("paragraph_no", "question_no", "id")])["answer"].to_pylist()
+        number: dict[str, int] = {}
+        code = np.array([number.setdefault(a, len(number)) for a in answers], np.int64)
+        brief, long = [], {}
+        for a, n in number.items():
+            (long.setdefault(a[:GRAM], []) if len(a) >= GRAM else brief).append((a, n))
+        asks = table.filter(table["_ask"])
+        others: list[str | None] = []
+        for context, p, q in zip(*(asks[c].to_pylist() for c in ("context", "paragraph_no", "question_no"))):
+            context, held = context or "", np.zeros(len(number), bool)
+            grams = {context[i : i + GRAM] for i in range(len(context) - GRAM + 1)}
+            for a, n in [*brief, *(x for g in long.keys() & grams for x in long[g])]:
+                held[n] = a in context
+            left = np.flatnonzero(~held[code])
+            others.append(answers[left[(p * 7 + q * 13) % len(left)]] if len(left) else None)
+        out = asks.select(columns).append_column("other", pa.array(others, pa.string()))
+        return out.filter(pc.is_valid(out["other"]))
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("other", T.StringType())])
+    return units.groupBy("title", "kind", "_b").applyInArrow(pick, schema)
 
 
 def swap_pairs(questions: DataFrame, least: int = 40) -> DataFrame:

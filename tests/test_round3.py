@@ -33,3 +33,15 @@ def test_rows_that_share_their_key_are_one_chunk(spark):
     found = index.chunk_terms(rows, F.col("text"))
     assert sorted(tuple(r) for r in index.chunk_lengths(found).collect()) == [("a", 1, 3), ("a", 1, 3), ("b", 2, 0)]
     assert {r.term: r.df for r in index.term_frequencies(found).collect()} == {"fox": 1, "hound": 1}
+
+
+def test_swap_picks_in_blocks_and_whole(spark):
+    rows = [("t", p, 0, f"{p}", f"in {p} and {p + 1} there", str(p)) for p in range(700)] + [(None, 1, 0, "n", "x", "5")]
+    questions = spark.createDataFrame(rows, "title string, paragraph_no long, question_no int, id string, context string, answer string")
+    plan = benchmarks.swap_picks(questions)
+    assert "explode(array_distinct" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: r.other for r in plan.collect()}
+    for p in range(700):
+        pool = [str(x) for x in range(700) if str(x) not in f"in {p} and {p + 1} there"]
+        assert got[str(p)] == pool[p * 7 % len(pool)]
+    assert len(got) == 700
