@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import estimate_tokens, norm_line, tidied, toc_like, trimmed, without_marks
+from tessella.functions.text import clean_page, estimate_tokens, norm_line, toc_like, trimmed
+from tessella.operators.rows import broadcast_if_small
+from tessella.sources.stash import stash
 
 PAGE_CHARS = 3000
 
@@ -53,16 +55,12 @@ def _repeated(lines: DataFrame, pages: DataFrame, share: float, least: int) -> D
 
 
 def clean_pages(pages: DataFrame, share: float = 0.3, least: int = 5, min_chars: int = 50) -> DataFrame:
-    """(doc_id, page, text, chars_before, kept) of each page. Boilerplate lines are joined away, line by line; pages
-    without any keep their text as it is."""
-    unmarked = pages.withColumn("text", without_marks(F.col("text")))
-    lines = _lines(unmarked)
-    gone = _repeated(_lines(pages), pages, share, least).select("doc_id", "line").withColumn("gone", F.lit(True))
-    marked = lines.join(gone, ["doc_id", "line"], "left")
-    rest = marked.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.when(F.col("gone").isNull(), F.struct("pos", "raw")))).alias("x"))
-    rows = pages.select("doc_id", "page", F.length("text").alias("chars_before")).join(rest, ["doc_id", "page"])
-    joined = F.array_join(F.transform("x", lambda x: x["raw"]), "\n")
-    cleaned = rows.select("doc_id", "page", tidied(joined).alias("text"), "chars_before")
+    """(doc_id, page, text, chars_before, kept) of each page. A document's boilerplate lines, of which each page has few, join
+    its pages as one array, so that pages are cleaned within their rows and no line or text is exchanged for it."""
+    gone = boilerplate(pages, share, least).groupBy("doc_id").agg(F.collect_list("line").alias("_gone"))
+    rows = pages.join(broadcast_if_small(stash(gone, "boilerplate")), "doc_id", "left")
+    text = F.when(F.col("_gone").isNull(), clean_page(F.col("text"))).otherwise(clean_page(F.col("text"), F.col("_gone")))
+    cleaned = rows.select("doc_id", "page", text.alias("text"), F.length("text").alias("chars_before"))
     return cleaned.withColumn("kept", F.length("text") > min_chars)
 
 

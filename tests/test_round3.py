@@ -50,3 +50,14 @@ def test_swap_picks_in_blocks_and_whole(spark):
         pool = [str(x) for x in range(700) if str(x) not in f"in {p} and {p + 1} there"]
         assert got[str(p)] == pool[p * 7 % len(pool)]
     assert len(got) == 700
+
+
+def test_pages_are_cleaned_within_their_rows(spark):
+    head = "Running head 7"
+    rows = [("d", p, f"{head}\n{chr(97 + p) * 30} {chr(97 + p) * 30}\nlast") for p in range(6)] + [("e", 1, f"{head}\nshort")]
+    pages = spark.createDataFrame(rows, "doc_id string, page long, text string")
+    cleaned = ingest.clean_pages(pages)
+    assert cleaned._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 0
+    got = {(r.doc_id, r.page): (r.text, r.kept) for r in cleaned.collect()}
+    assert got[("d", 3)] == ("d" * 30 + " " + "d" * 30, True)
+    assert got[("e", 1)] == (f"{head}\nshort", False)
