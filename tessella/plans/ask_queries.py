@@ -28,7 +28,7 @@ def library(spark, sf_dir) -> ask.Library:
         return placed(retrieve.cosine_candidates(vectors, own, k), chunks)
 
     texts = lambda rows: with_texts(rows, row_texts(spark, sf_dir), ["row_id"]).drop("row_id")
-    return ask.Library(chunks, texts, keyword, semantic, idf=index.collection_idf(found))
+    return ask.Library(chunks, texts, keyword, semantic, idf=index.collection_idf(found, index.query_terms(questions(spark, sf_dir))))
 
 
 def _run(spark, sf_dir) -> ask.Run:

@@ -61,3 +61,50 @@ def test_pages_are_cleaned_within_their_rows(spark):
     got = {(r.doc_id, r.page): (r.text, r.kept) for r in cleaned.collect()}
     assert got[("d", 3)] == ("d" * 30 + " " + "d" * 30, True)
     assert got[("e", 1)] == (f"{head}\nshort", False)
+
+
+def test_terms_of_whole_texts_are_the_tokens(spark):
+    from collections import Counter
+
+    from tessella.functions import terms
+
+    odd = ["ÄÖÜ été Straße Ångström øre 1½x café-au-lait l'été’s Жук ×2 a÷b ’tis été ﬁne 한국 x_y a/b ΑΣ Σ 𝐀b", "Fox-hound's the İx a-b's", "", None, "ẞ  z zz"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, text string").select("text", index.tokens(F.col("text")).alias("t")).collect()
+    for r in rows:
+        assert terms.counts_of(r.text) == dict(Counter(r.t)), r.text
+
+
+def _library(spark, tmp_path):
+    words = ["running", "runs", "fox", "foxes", "hound", "granite", "stone"]
+    rows = [(f"d{i % 3}", i, " ".join(words[(i * j) % 7] for j in range(1, 2 + i % 9))) for i in range(60)]
+    rows += [("copy", i, "fox granite runs") for i in range(40)] + [("d0", 60, None), ("twice", 1, "hound fox"), ("twice", 1, "hound")]
+    path = str(tmp_path / "index")
+    index.build(spark.createDataFrame(rows, "doc_id string, idx long, text string"), path, F.col("text"))
+    return index.open_index(spark, path), index.open_terms(spark, path)
+
+
+def test_searches_of_chunk_terms_are_those_of_postings(spark, tmp_path, monkeypatch):
+    stored, read = _library(spark, tmp_path)
+    texts = ["running fox", "hound stone granite", "nowhere", "fox fox runs", "the", "granite", "fox granite", "fox hound"]
+    asked = spark.createDataFrame([(10 * i, t) for i, t in enumerate(texts)], "query_id long, question string")
+    for stem in (False, True):
+        words = index.query_terms(asked, stem=stem)
+        for per_document in (False, True):
+            rows = [sorted(tuple(r) for r in index.bm25_search(x, words, 5, per_document, stem).collect()) for x in (stored, read)]
+            assert rows[0] == rows[1] and rows[0]
+    monkeypatch.setattr(index, "CELLS", 40)  # blocks of a few chunks
+    words = index.query_terms(asked)
+    rows = [sorted(tuple(r) for r in index.bm25_search(x, words, 5).collect()) for x in (stored, read)]
+    assert rows[0] == rows[1]
+    monkeypatch.setattr(index, "QUESTIONS", 1)  # too many questions: by joins
+    assert sorted(tuple(r) for r in index.bm25_search(read, words, 5).collect()) == rows[0]
+    some = {r.term: r.idf for r in index.collection_idf(stored).collect()}
+    few = {r.term: r.idf for r in index.collection_idf(read, words).collect()}
+    assert few == {w: some[w] for w in few} and set(few) == {"running", "runs", "fox", "hound", "stone", "granite"}
+
+
+def test_a_search_of_chunk_terms_exchanges_no_scores(spark, tmp_path):
+    _, read = _library(spark, tmp_path)
+    asked = index.query_terms(spark.createDataFrame([(1, "fox granite")], "query_id long, question string"))
+    plan = index.bm25_search(read, asked, 5, False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
