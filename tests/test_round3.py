@@ -108,3 +108,26 @@ def test_a_search_of_chunk_terms_exchanges_no_scores(spark, tmp_path):
     asked = index.query_terms(spark.createDataFrame([(1, "fox granite")], "query_id long, question string"))
     plan = index.bm25_search(read, asked, 5, False)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Generate" not in plan
+
+
+def test_estimates_of_whole_texts(spark):
+    from tessella.functions import text, terms
+
+    odd = ["", " ", "\x1c a\x1fb  c", "\ufeffa\ufeff b\u2003c ", "a\x85b c", "one two  three\n", "x" * 37, "é à ü " * 9, None, "\u3000"]
+    rows = spark.createDataFrame([(t,) for t in odd], "text string")
+    got = rows.select("text", text.estimate_tokens(F.col("text")).alias("a"), terms.estimated(F.col("text")).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] == [terms.estimate_of(r.text) for r in got]
+
+
+def test_places_need_no_pattern(spark, monkeypatch):
+    from tessella.plans import queries
+
+    plans = []
+    monkeypatch.setattr(queries, "stash", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    monkeypatch.setattr(queries, "stored", lambda spark, sf, name, last, build: build("/nowhere"))
+    monkeypatch.setattr(queries, "ranked", lambda *a: 1 / 0)
+    try:
+        queries.paged_chunks(spark, "/root/testdata/sf0.001")
+    except ZeroDivisionError:
+        pass
+    assert plans and "regexp" not in plans[0] and "split" not in plans[0]
