@@ -11,9 +11,11 @@ So the probabilities of the counted words, the end mark and the uncounted words
 1. Spark counts all words of the learning texts (pre-aggregated in each batch, then summed by the word's hash).
 2. Texts become arrays of symbols. Counts of the ``lookup`` most frequent words at most travel as one bounded table; all other
    words are counted within their text, joined with the table of counts, and their logarithms summed by text.
-3. Baum-Welch: a start from a bounded sample (``sample_tokens``, in one task), then ``passes`` passes over all learning texts:
-   each partition gathers its expected counts in arrays of fixed size, Spark sums them, the driver (whose share is
-   symbols x states numbers) makes the next parameters.
+3. A start from all learning texts: Spark counts how often each symbol stands before and after each of the ``NEIGHBOURS`` most
+   frequent ones (the rest together), and ``rounds`` rounds of expectation maximisation fit the states to these pairs alone,
+   in the driver (symbols x neighbours numbers, however long the texts are).
+   Baum-Welch: ``passes`` passes over all learning texts; each partition gathers its expected counts in arrays of fixed size,
+   Spark sums them, the driver (whose share is symbols x states numbers) makes the next parameters.
 4. Scaled forward recursion in double precision gives each text's exact likelihood.
 
 Words are told apart by 64-bit hashes: two of a million words are the same with a chance of 3e-8.
@@ -45,6 +47,8 @@ OUTSIDE = byte_set([0x20, *range(0x09, 0x0E)])
 END, FIRST_CLASS, FIRST_WORD = 0, 1, 1 + CLASSES
 #: Tokens whose state probabilities are in memory at once.
 WAVE = 200_000
+#: Symbols told apart as neighbours at the start of the learning: the most frequent ones, and one for all others.
+NEIGHBOURS = 64
 #: Pseudo-counts of a state: of the overall symbol distribution, and of each transition.
 PRIOR, STEP_PRIOR = 20.0, 0.5
 
@@ -328,8 +332,62 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterato
             i = j
 
 
-def baum_welch(learned: DataFrame, words: Vocabulary, states: int, rounds: int, passes: int, sample_tokens: int) -> Model:
-    """learned: rows with symbols, n_tokens and _uid."""
+def neighbour_of(words: Vocabulary) -> np.ndarray:
+    """Of each symbol the neighbour it counts as."""
+    n = min(NEIGHBOURS, len(words.symbol_counts))
+    column = np.full(len(words.symbol_counts), n - 1)
+    column[np.argsort(-words.symbol_counts, kind="stable")[: n - 1]] = np.arange(n - 1)
+    return column
+
+
+def pair_counts(learned: DataFrame, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tables (symbols x neighbours) over all texts: how often each symbol has the neighbour before it, and after it. The end mark
+    stands before a text's first word."""
+    symbols, n = len(column), int(column.max()) + 1
+    shared = learned.sparkSession.sparkContext.broadcast(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column, total = shared.value, np.zeros(2 * symbols * n, np.int64)
+        for _, sequences in _blocks(batches):
+            own = np.concatenate(sequences).astype(np.int64)
+            last = np.empty_like(own)
+            last[1:] = own[:-1]
+            last[np.cumsum([0, *(len(s) for s in sequences[:-1])])] = END
+            total[: symbols * n] += np.bincount(own * n + column[last], minlength=symbols * n)
+            total[symbols * n :] += np.bincount(last * n + column[own], minlength=symbols * n)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
+
+    found = learned.select("symbols").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 * symbols * n)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    shared.destroy()
+    return tuple(out.reshape(2, symbols, n))
+
+
+def pair_model(model: Model, before: np.ndarray, after: np.ndarray, column: np.ndarray, rounds: int, overall: np.ndarray) -> Model:
+    """Expectation maximisation over the pairs of pair_counts: a pair's first state has its share of all tokens, its second
+    follows by a step, and each emits its side."""
+    emit, step, n = model.emit, model.step, before.shape[1]
+    share = np.full(len(step), 1 / len(step))
+    for _ in range(rounds):
+        side = np.stack([np.bincount(column, emit[:, k], n) for k in range(len(step))], axis=1)  # emission of a neighbour
+        own, later = emit * share, side @ step.T
+        ratio = after / (own @ later.T)
+        counts, steps = own * (ratio @ later), step * (own.T @ ratio @ side)
+        earlier = (side * share) @ step
+        ratio = before / (emit @ earlier.T)
+        counts += emit * (ratio @ earlier)
+        steps += step * ((side * share).T @ (ratio.T @ emit))
+        share = counts.sum(0) / counts.sum()
+        made = next_model(share, steps / 2, counts / 2, overall)  # each token is in two pairs
+        step, emit = made.step, made.emit
+    first = (share * emit[END]) @ step  # the state after an end mark
+    return Model(first / first.sum(), step, emit)
+
+
+def baum_welch(learned: DataFrame, words: Vocabulary, states: int, rounds: int, passes: int) -> Model:
+    """learned: rows with symbols."""
     overall = (words.symbol_counts + 0.5) / (words.symbol_counts.sum() + 0.5 * len(words.symbol_counts))
     model = first_model(states, overall)
     if not words.texts:
@@ -352,23 +410,9 @@ def baum_welch(learned: DataFrame, words: Vocabulary, states: int, rounds: int,
         step[-2 - ids[ids < -1]] = values[ids < -1]
         return next_model(values[ids == -1].sum(0), step, emit, overall)
 
-    # the sample's size is bounded, so one task may read it; longer texts than the bound aren't in it
-    share = min(1.0, sample_tokens / words.tokens)
-    sample = learned.where((F.pmod(F.xxhash64(F.lit(5), "_uid"), F.lit(1_000_000)) < round(1_000_000 * share)) & (F.col("n_tokens") <= sample_tokens // 4))
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequences = sorted((s for _, own in _blocks(batches) for s in own), key=lambda s: (len(s), s.tobytes()))
-        now = model
-        for left in reversed(range(rounds)):
-            e = Expected(single(now))
-            e.add(sequences)
-            if left:
-                now = next_model(e.first, e.step, e.emit, overall)
-            else:
-                yield table(e)
-
     if rounds:
-        model = made(sample.select("symbols").coalesce(1).mapInArrow(start, schema).toArrow())
+        column = neighbour_of(words)
+        model = pair_model(model, *pair_counts(learned, column), column, rounds, overall)
     for _ in range(passes):
         shared = spark.sparkContext.broadcast(single(model))  # symbols x states numbers
 
@@ -405,9 +449,8 @@ def language_model(
     text: str = "text",
     held: Column | None = None,
     states: int = 16,
-    rounds: int = 12,
+    rounds: int = 150,
     passes: int = 3,
-    sample_tokens: int = 1_000_000,
     head: int = 16_000,
     lookup: int = 1 << 20,
 ) -> DataFrame:
@@ -420,7 +463,7 @@ def language_model(
     counts = count_words(learned, text)
     words = vocabulary(counts, learned.count(), head, lookup)
     rows = encode(docs, key, text, held, words)
-    model = baum_welch(rows.where(~F.col("held_out")), words, states, rounds, passes, sample_tokens)
+    model = baum_welch(rows.where(~F.col("held_out")), words, states, rounds, passes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
