@@ -19,8 +19,12 @@ TERMS = "array<struct<term: string, tf: bigint>>"
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 MARKS = re.compile("[\u0300-\u036f]+")
 BASIC = re.compile("[\u0080-\uffff]+")
+#: Neither ASCII nor a mark that folding takes away.
+OTHER = re.compile("[^\x00-\x7f\u0300-\u036f]")
 HIGHER = re.compile("[\U00010000-\U0010ffff]")
 STOP = frozenset(STOPWORDS)
+#: Of ASCII what may stand in a word of WORD stays, all else becomes a blank.
+APART = {c: chr(c) if chr(c).isalnum() or chr(c) in "'-" else " " for c in range(128)}
 SPACES = re.compile(f"{SPACE}+")
 #: What only one of str.split and text.SPACE counts as white space.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\ufeff]")
@@ -31,23 +35,38 @@ ROWS = 1_000
 def folded(text: str) -> str:
     """text.fold of one text: characters above the basic plane stay as they are."""
     if not text.isascii():
-        plain = lambda t: MARKS.sub("", unicodedata.normalize("NFKD", t))
-        text = BASIC.sub(lambda m: plain(m[0]), text) if HIGHER.search(text) else plain(text)
+        if HIGHER.search(text):
+            text = BASIC.sub(lambda m: MARKS.sub("", unicodedata.normalize("NFKD", m[0])), text)
+        else:
+            text = unicodedata.normalize("NFKD", text)
+            text = MARKS.sub("", text) if OTHER.search(text) else text.encode("ascii", "ignore").decode("ascii")
         text = text.replace("ß", "ss")
     return text.lower()
 
 
+def word_counts(text: str) -> Counter[str]:
+    """Words of a folded text as WORD finds them, with their numbers: ASCII is cut at blanks, which is faster, and only pieces with
+    apostrophes or hyphens go through the pattern."""
+    if not text.isascii():
+        return Counter(WORD.findall(text))
+    words = Counter(text.translate(APART).split())
+    for piece in [w for w in words if not w.isalnum()]:
+        n = words.pop(piece)
+        for word in WORD.findall(piece):
+            words[word] += n
+    return words
+
+
 def counts_of(text: str | None) -> dict[str, int]:
     """text.tokens of one text with their numbers."""
-    words = Counter(WORD.findall(folded(text or "")))
-    out = {w: n for w, n in words.items() if len(w) > 1 and w not in STOP and w.isalnum()}
-    if len(out) < len(words):
-        for word, n in words.items():
-            if not word.isalnum():
-                word = re.sub("['’]", "", re.sub("['’]s$", "", word))
-                for w in [word.replace("-", ""), *word.split("-")] if "-" in word else [word]:
-                    if len(w) > 1 and w not in STOP:
-                        out[w] = out.get(w, 0) + n
+    out = word_counts(folded(text or ""))
+    for word in [w for w in out if not w.isalnum()]:
+        n = out.pop(word)
+        word = re.sub("['’]", "", re.sub("['’]s$", "", word))
+        for w in [word.replace("-", ""), *word.split("-")] if "-" in word else [word]:
+            out[w] += n
+    for w in [w for w in out if len(w) < 2 or w in STOP]:
+        del out[w]
     return out
 
 

@@ -1,7 +1,10 @@
 """What the third review found."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
+from tessella.functions import terms
 from tessella.operators import benchmarks, index, ingest
 from tessella.sources import loaders
 
@@ -131,3 +134,11 @@ def test_places_need_no_pattern(spark, monkeypatch):
     except ZeroDivisionError:
         pass
     assert plans and "regexp" not in plans[0] and "split" not in plans[0]
+
+
+def test_ascii_pieces_count_as_the_pattern_finds_them():
+    plain = "A-b--c it's 'tis x_y-z o'-n rock'n'roll- e-mail\x00b 12-3's the-s _ - ' Ab\x1cC \x85"
+    for text in (plain, plain + " naïve Straße", plain + " ﬁn’s e\u0301t", plain + " 中文"):
+        assert sum(terms.word_counts(terms.folded(text)).values()) == len(terms.WORD.findall(terms.folded(text)))
+        assert terms.word_counts(terms.folded(text)) == Counter(terms.WORD.findall(terms.folded(text)))
+    assert terms.folded("e\u0301t\u0345") == "et" and terms.folded("ͰÉ") == "ͱe"
