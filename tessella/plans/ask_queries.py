@@ -8,7 +8,7 @@ from tessella.functions import text as T
 from tessella.operators import ask, index, retrieve
 from tessella.operators.rows import with_texts
 from tessella.plans import sql
-from tessella.plans.queries import PAGED, TERMS, _bm25_sql, _cosine_sql, _rrf, _rrf_sql, documents, paged_chunks, placed, query, questions, row_texts, stored_index, table, vector_queries
+from tessella.plans.queries import PAGED, TERMS, _bm25, _bm25_sql, _cosine_sql, _rrf, _rrf_sql, documents, paged_chunks, placed, query, questions, row_texts, stored_index, table, vector_queries
 from tessella.sources.stash import stash
 
 
@@ -78,10 +78,11 @@ def corrective_retry(spark, sf_dir):
         # needs_correction tests a half: shares are stretched so that three quarters stand at it
         return rows.withColumns({"share": F.col("covered") / 1.5, "quality": ask.quality()})
 
-    first = stash(answered(index.bm25_search(stored_index(spark, sf_dir), index.query_terms(asked), 1, False)), "first")
+    keyword = stash(_bm25(spark, sf_dir, False, 20), "keyword")  # both attempts come of one search
+    first = stash(answered(keyword.where("rank = 1")), "first")
 
     def again(weak):
-        lists = _rrf(spark, sf_dir, (1.0, 1.0)).where("rank <= 3")
+        lists = _rrf(spark, sf_dir, (1.0, 1.0), keyword).where("rank <= 3")
         return answered(lists.join(weak, "query_id", "left_semi")).join(weak, "query_id", "left_semi")
 
     return ask.corrective_retry(first, again).select("query_id", "attempts", "attempt", "covered")

@@ -143,7 +143,7 @@ def test_checks_of_answers_search_once(spark, monkeypatch):
     searched = []
     search = index.bm25_search
     monkeypatch.setattr(index, "bm25_search", lambda *a, **b: searched.append(a) or search(*a, **b))
-    for name in ("support_summary", "claim_support", "citation_check", "context_utilization"):
+    for name in ("support_summary", "claim_support", "citation_check", "context_utilization", "corrective_retry"):
         searched.clear()
         assert E.queries()[name](spark, f"{TESTDATA}/sf0.001").count() and len(searched) == 1, name
 
